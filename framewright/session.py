@@ -38,6 +38,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later steps survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Materialise ``df`` in the shared checkpoint folder, so that later steps survive lost executors.
+
+    Constraints of the plan are left behind too: kept over rounds of an iteration, they double with each round.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
