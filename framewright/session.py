@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,31 +25,39 @@ def get_spark(app: str = "framewright", master: str = "local[8]", **conf: str) -
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` of the session; a temporary folder only in local mode where it is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-checkpoint-"))
-    else:
+        return shared
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="framewright-")
+    return _LOCAL[sc.applicationId]
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later steps survive lost executors.
+    """``df`` written as a table into the shared folder and read back, so that later steps survive lost executors.
 
-    Constraints of the plan are left behind too: kept over rounds of an iteration, they double with each round.
+    The table carries its true size into later plans, where a checkpoint would keep an estimate that multiplies with every
+    join of an iteration. It is deleted when the driver's process ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
+    path = f"{shared_folder(spark)}/framewright/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(key, before)
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; the folder belongs to the cluster then
+        return
