@@ -1,14 +1,15 @@
 """Connected components by low-diameter decomposition.
 
-Each round, every vertex draws an exponential shift from a hash of its id; vertex v joins the centre u with the largest
+Each round, every vertex draws an exponential shift from a hash of its number; vertex v joins the centre u with the largest
 ``shift(u) - distance(u, v)``, found by passing (shift, centre) along the edges for RADIUS steps. Shifts are cut off at
 RADIUS, so no centre reaches further and the clusters are final after these steps. Clusters become the vertices of the
 next round, edges between clusters its edges, and the rounds end when none is left. Assignments are then composed from
 the last round back, each level being larger than the one above it, and every vertex gets the smallest id of its component.
 
-Per round the cost is RADIUS joins over the remaining edges; a constant share of the vertices of every component with an
-edge vanishes in expectation. The maximum over a vertex's neighbours is combined before the shuffle, hubs are no single
-task: AQE splits the join side of a hub, and duplicate edges between the same two clusters are removed each round.
+Ids are numbered first. A shift in 16 binary places and a number share one BIGINT, so that "largest shift, then largest
+number" is a plain maximum, combined before each shuffle; every vertex has an edge of cost 0 to itself, which keeps the
+plan of a round linear. A hub is no single task: its messages are combined early and AQE splits its side of a join.
+Links between the same two clusters are removed each round.
 """
 
 from __future__ import annotations
@@ -23,24 +24,34 @@ from framewright.session import cut
 #: Steps that a cluster grows per round, and the cut-off of the shifts.
 RADIUS = 3
 #: Rate of the exponential shifts: mean 1 / RATE.
-RATE = 0.7
+RATE = 0.45
 #: Bound on rounds; expected are a few times the logarithm of the vertices, so reaching it is an error.
 MAX_ROUNDS = 200
+#: Bits of a vertex number: 33 count within a partition, 11 name one of PARTS partitions.
+NUMBER_BITS, PARTS = 44, 2048
+_ONE = 1 << (NUMBER_BITS + 16)
 
 
-def _shift(column: str, round_no: int) -> F.Column:
-    """Exponential shift of a vertex, cut off at RADIUS, the same wherever it is computed."""
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(round_no), F.col(column)), 11).cast("double") + 1.0) / float(1 << 53)
-    return F.least(-F.log(unit) / RATE, F.lit(float(RADIUS)))
+def _start(vertex: str, round_no: int) -> F.Column:
+    """The vertex's own bid: its exponential shift, cut off at RADIUS, above its number."""
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(round_no), F.col(vertex)), 11).cast("double") + 1.0) / float(1 << 53)
+    shift = F.least(-F.log(unit) / RATE, F.lit(float(RADIUS)))
+    return F.shiftleft((shift * 65536).cast("long"), NUMBER_BITS).bitwiseOR(F.col(vertex))
 
 
 def decompose(edges: DataFrame, round_no: int) -> DataFrame:
-    """(v, c): the cluster centre of each vertex of symmetric ``edges`` (src, dst)."""
-    state = edges.select(F.col("src").alias("v")).distinct().select("v", F.struct(_shift("v", round_no).alias("r"), F.col("v").alias("c")).alias("best"))
+    """(v, c): the cluster centre of each vertex of ``edges`` (src, dst, cost), symmetric and with loops of cost 0."""
+    bids = edges.where("src = dst").select(F.col("src").alias("v"), _start("src", round_no).alias("bid"))
     for _ in range(RADIUS):
-        sent = edges.join(state, edges.src == state.v).where("best.r >= 1").select(F.col("dst").alias("v"), F.struct((F.col("best.r") - 1.0).alias("r"), F.col("best.c").alias("c")).alias("best"))
-        state = state.unionByName(sent).groupBy("v").agg(F.max("best").alias("best"))
-    return state.select("v", F.col("best.c").alias("c"))
+        sent = edges.join(bids, edges.src == bids.v).select("dst", (F.col("bid") - F.col("cost")).alias("bid")).where("bid >= 0")
+        bids = sent.groupBy(F.col("dst").alias("v")).agg(F.max("bid").alias("bid"))
+    return bids.select("v", F.col("bid").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).alias("c"))
+
+
+def _with_loops(links: DataFrame) -> DataFrame:
+    """Distinct symmetric links (src, dst) with their costs and a loop for every vertex."""
+    loops = links.select("src", F.col("src").alias("dst"))
+    return links.unionByName(loops).distinct().withColumn("cost", F.when(F.col("src") == F.col("dst"), F.lit(0)).otherwise(F.lit(_ONE)).cast("long"))
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -50,8 +61,12 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     itself count for nothing; repeated links and links in either order count once; no usable link gives no rows. Other
     columns are not read.
     """
-    links = pairs.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
-    edges = cut(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    links = cut(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    ids = links.select(F.col("a").alias("member")).unionByName(links.select(F.col("b").alias("member"))).distinct()
+    numbers = cut(ids.coalesce(PARTS).withColumn("v", F.monotonically_increasing_id()))
+    number = lambda old, new: numbers.select(F.col("member").alias(old), F.col("v").alias(new))
+    pair = links.join(number("a", "src"), "a").join(number("b", "dst"), "b").select("src", "dst")
+    edges = cut(_with_loops(pair.unionByName(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst")))))
     levels: list[DataFrame] = []
     while not edges.isEmpty():
         if len(levels) == MAX_ROUNDS:
@@ -59,11 +74,12 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         level = cut(decompose(edges, len(levels)))
         levels.append(level)
         at = lambda side: level.select(F.col("v").alias(side), F.col("c").alias(f"{side}_c"))
-        moved = edges.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst"))
-        edges = cut(moved.where("src <> dst").distinct())
+        moved = edges.where("cost > 0").join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst"))
+        edges = cut(_with_loops(moved.where("src <> dst")))
     if not levels:
-        return edges.select(F.col("src").alias("member"), F.col("dst").alias("group_id"))
+        return links.select(F.col("a").alias("member"), F.col("b").alias("group_id"))
     compose = lambda top, level: level.join(top.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").select("v", F.coalesce("root", "c").alias("c"))
-    roots = cut(reduce(compose, reversed(levels)))
-    least = roots.groupBy("c").agg(F.min("v").alias("group_id"))
-    return roots.join(least, "c").select(F.col("v").alias("member"), "group_id")
+    roots = reduce(compose, reversed(levels))
+    named = cut(roots.join(numbers, "v").select("member", "c"))
+    least = named.groupBy("c").agg(F.min("member").alias("group_id"))
+    return named.join(least, "c").select("member", "group_id")
