@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framewright.llm import p1_neighbors, p2_components, p3_runs, p6_tokens
+from framewright.llm import p1_neighbors, p2_components, p3_runs, p6_tokens, p7_leaks
 
-_MODULES = (p1_neighbors, p2_components, p3_runs, p6_tokens)
+_MODULES = (p1_neighbors, p2_components, p3_runs, p6_tokens, p7_leaks)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
