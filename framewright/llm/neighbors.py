@@ -4,7 +4,7 @@
    k + 1 members of a group at most being needed by anyone.
 2. A bounded sample (SAMPLE vectors at most) fits the list centres; centres are grouped into cells, so that a query that
    probes several lists mostly meets them in one cell and is sent there once. Lists are found by way of the cells.
-3. Every vector goes to the list of its nearest centre and, as a query, to the cells of its PROBES nearest lists. Vectors are
+3. Copies within a task are dropped. Every vector goes to the list of its nearest centre and, as a query, to the cells of its PROBES nearest lists. Vectors are
    rotated by one random orthogonal matrix and shipped as packed float32 bytes. Cells for which the sample foretells more than
    CELL_ROWS rows are cut into blocks by a hash, and queries visit every block, so no task holds more than a block.
 4. In a task, each list is scanned in column blocks. After each block a hypothesis test compares the partial distance,
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +29,11 @@ SAMPLE = 65536
 LIST_ROWS = 160
 MAX_LISTS = 32768
 #: Lists per cell, and rows a block of a cell holds on average at most.
-CELL_LISTS = 16
+CELL_LISTS = 64
 CELL_ROWS = 32768
 #: Lists that a query scans, and cells whose lists are compared to find these.
 PROBES = 8
-NEAR_CELLS = 8
+NEAR_CELLS = 5
 #: Columns scanned before each test.
 BLOCK = 16
 #: Significance of the test; 2.1 abandons a true neighbour in far less than one case in a hundred.
@@ -172,16 +173,30 @@ def nearest_lists(x: np.ndarray, centres: np.ndarray, hubs: np.ndarray, members:
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id BIGINT, v ARRAY<FLOAT> of length one, h BIGINT) of every row whose id and vector can be used.
+    """(id BIGINT, h BIGINT, v BINARY) of every row whose id and vector can be used; v is scaled to length one, h its hash.
 
     Null ids and vectors that are null, not ``dim`` long, all zero, or that hold a null, NaN or infinite number are left out.
     """
-    v = F.col(vector)
-    fine = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.where(F.col(key).isNotNull() & v.isNotNull() & fine).select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("w"))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x)))
-    unit = rows.select("id", F.transform("w", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
-    return unit.withColumn("h", F.xxhash64("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            lists = batch.column("v")
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False))
+            if not batch.num_rows:
+                continue
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+            ok = np.isfinite(norm) & (norm > 0)
+            unit = (x[ok] / norm[ok, None]).astype(np.float32)
+            data = np.ascontiguousarray(unit)
+            h = np.array([xxhash.xxh3_64_intdigest(r) for r in data], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column("id").filter(pa.array(ok)), pa.array(h), _binary(data)], names=["id", "h", "v"])
+
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "id long, h long, v binary")
 
 
 def nearest_neighbors(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, min_cosine: float = -1.0, probes: int = PROBES) -> DataFrame:
@@ -198,7 +213,7 @@ def nearest_neighbors(df: DataFrame, key: str, vector: str, dim: int, k: int = 1
     w = Window.partitionBy("h").orderBy("id")
     first = members.withColumn("n", F.row_number().over(w)).where(f"n <= {k + 1}")
     own = first.groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("own"))
-    found = _search(spark, rows, dim, k, min_cosine, probes)
+    found = _search(spark, rows, df.count(), dim, k, min_cosine, probes)
     other = found.join(own.select(F.col("h").alias("nh"), F.col("own").alias("theirs")), "nh")
     best = F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("theirs", lambda i: F.struct((-F.col("cosine")).alias("c"), i.alias("i")))))), 1, k)
     other = other.groupBy("h").agg(best.alias("other"))
@@ -209,14 +224,15 @@ def nearest_neighbors(df: DataFrame, key: str, vector: str, dim: int, k: int = 1
     return out.select("id", F.col("b.i").alias("neighbor"), (-F.col("b.c")).alias("cosine"), (F.col("pos") + 1).cast("int").alias("rank")).where(F.col("cosine") >= min_cosine)
 
 
-def _search(spark, rows: DataFrame, dim: int, k: int, min_cosine: float, probes: int) -> DataFrame:
-    """(h, nh, cosine): for each distinct vector its k most similar others."""
-    total = rows.count()
+def _search(spark, rows: DataFrame, total: int, dim: int, k: int, min_cosine: float, probes: int) -> DataFrame:
+    """(h, nh, cosine): for each distinct vector its k most similar others; total: bound on the rows."""
     if total < 2:
         return spark.createDataFrame([], "h long, nh long, cosine double")
     share = min(1.0, 0.9 * min(SAMPLE, max(4096, 4 * total // LIST_ROWS)) / total)
-    taken = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").distinct().limit(SAMPLE).mapInArrow(_pack, "v binary").collect()
-    taken = taken or rows.select("v").limit(1).mapInArrow(_pack, "v binary").collect()
+    taken = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").distinct().limit(SAMPLE).collect()
+    taken = taken or rows.select("v").limit(1).collect()
+    if not taken:
+        return spark.createDataFrame([], "h long, nh long, cosine double")
     turn = rotation(dim)
     sample = np.array([np.frombuffer(r.v, np.float32) for r in taken]) @ turn
     centres = fit_centres(sample, int(min(MAX_LISTS, max(1, total // LIST_ROWS))))
@@ -230,11 +246,16 @@ def _search(spark, rows: DataFrame, dim: int, k: int, min_cosine: float, probes:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, centres, hubs, lists, cell_of, blocks = shared.value
+        seen = np.empty(0, np.int64)
         for batch in batches:
-            if not batch.num_rows:
+            # Copies are dropped here within a task and in the scan for good, so a large group of them is never sent whole.
+            ids, pos = np.unique(batch.column("h").to_numpy(), return_index=True)
+            new = ~np.isin(ids, seen)
+            ids, pos = ids[new], pos[new]
+            if not len(ids):
                 continue
-            x = _matrix(batch.column("v"), dim) @ turn
-            ids = batch.column("h").to_numpy()
+            seen = np.concatenate([seen, ids])
+            x = _matrix(batch.column("v").take(pa.array(pos)), dim) @ turn
             near = nearest_lists(x, centres, hubs, lists, m)
             home = cell_of[near[:, 0]]
             cells = np.sort(cell_of[near], axis=1)
@@ -253,10 +274,12 @@ def _search(spark, rows: DataFrame, dim: int, k: int, min_cosine: float, probes:
                     names=["cell", "only_query", "h", "v", "near"],
                 )
 
-    sent = rows.select("h", "v").distinct().mapInArrow(_pack, "h long, v binary").mapInArrow(assign, "cell long, only_query boolean, h long, v binary, near binary")
+    sent = rows.select("h", "v").mapInArrow(assign, "cell long, only_query boolean, h long, v binary, near binary")
     widest = float(max(0.0, 2 - 2 * min_cosine)) * (1 + 1e-4) + 1e-5
 
     def scan(table: pa.Table) -> pa.Table:
+        _, first = np.unique(table.column("h").to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
         x = _matrix(table.column("v"), dim)
         near = np.frombuffer(b"".join(table.column("near").to_pylist()), np.uint16).reshape(-1, m).astype(np.int32)
         ids = table.column("h").to_numpy()
@@ -276,10 +299,3 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
-            yield pa.record_batch([_binary(x) if n == "v" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
