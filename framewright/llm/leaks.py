@@ -27,6 +27,9 @@ PASSAGE = 72
 INDEX_ITEMS = 20000
 #: Items per block of a posting list, each block with its largest weight.
 BLOCK = 16
+#: Words of the longest exact stretch that every quotation has at least: its matched words lie in one stretch more than it has
+#: changes, so 14 words in 3 stretches are the worst case. Pairs without a common stretch are not aligned.
+STRETCH = 5
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -65,6 +68,10 @@ class ItemIndex:
             least = self._least(w, score)
             for t, s in score.items():
                 postings[t].append((at, s / least if least > 1e-9 else 1.0))
+        self.stretches: dict[tuple, list[int]] = defaultdict(list)
+        for at, w in enumerate(self.words):
+            for h in {tuple(w[i : i + STRETCH]) for i in range(len(w) - STRETCH + 1)}:
+                self.stretches[h].append(at)
         self.at = {t: [p for p, _ in rows] for t, rows in postings.items()}
         self.weight = {t: [s for _, s in rows] for t, rows in postings.items()}
         self.block_max = {t: [max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for t, s in self.weight.items()}
@@ -206,8 +213,12 @@ def _search_part(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFr
                 words = words_of(t)
                 near = defaultdict(list)
                 for at in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2):
-                    for item in index.search(set(words[at : at + PASSAGE])):
-                        near[item].append(at)
+                    part = words[at : at + PASSAGE]
+                    if retrieved := index.search(set(part)):
+                        common = {x for i in range(len(part) - STRETCH + 1) for x in index.stretches.get(tuple(part[i : i + STRETCH]), ())}
+                        for item in retrieved:
+                            if item in common:
+                                near[item].append(at)
                 for item, places in near.items():
                     # Passages that follow each other are verified as one stretch.
                     stretches = []
