@@ -68,3 +68,37 @@ def mean_vector(df: DataFrame, by: str, vector: str, weight=None, unit: bool = T
         return vectors
     length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
     return vectors.select(by, F.transform("mean", lambda x: x / length).alias("mean"))
+
+
+def pairs_within(df: DataFrame, key: str, vector: str, max_distance: float, digits: int = 9) -> DataFrame:
+    """(a, b, distance): all pairs a < b of unit vectors whose cosine distance is at most ``max_distance``; only these leave a task.
+
+    All rows are the query set and meet the table in blocks of BLOCK_QUERIES; see top_neighbors for what counts.
+    """
+    spark = df.sparkSession
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    parts = max(1, -(-rows.count() // BLOCK_QUERIES))
+    found = spark.createDataFrame([], f"a {kind}, b {kind}, distance double")
+    for part in range(parts):
+        block = rows.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part).collect()
+        if not block:
+            continue
+        dim = len(block[0][1])
+        block = [r for r in block if len(r[1]) == dim]
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64)))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, dim=dim) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for batch in batches:
+                batch = batch[[len(v) == dim for v in batch.v]]
+                if not len(batch):
+                    continue
+                other = batch.k.to_numpy()
+                dist = np.round(1.0 - q @ np.array(batch.v.tolist(), np.float64).T, digits)
+                i, j = np.nonzero(dist <= max_distance)
+                keep = ids[i] < other[j]
+                yield pd.DataFrame({"a": ids[i][keep], "b": other[j][keep], "distance": dist[i, j][keep]})
+
+        found = found.unionByName(rows.mapInPandas(scan, f"a {kind}, b {kind}, distance double"))
+    return found
