@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import spread
+
 #: Fixed value: the pattern that the vocabularies of this family split text with before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Folder of the public vocabularies; a parameter of every call.
@@ -208,7 +210,7 @@ def encode_texts(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, n
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.record_batch([batch.column(0), ids], names=[key, "ids"])
 
-    return df.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>")
+    return spread(df.select(key, F.col(text).cast("string").alias("__text"))).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>")
 
 
 def decode_ids(df: DataFrame, key: str, ids: str = "ids", folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import spread
+
 #: A quotation: words at least, and one changed word (replaced, left out or put in) allowed for so many.
 MIN_WORDS, PER_CHANGE = 15, 8
 #: Words per passage; half of it must hold a quotation of up to 31 words with its changes.
@@ -231,4 +233,4 @@ def _search_part(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFr
                         out.append((k, index.ids[item]))
             yield pd.DataFrame(out, columns=["k", "i"]).astype("int64")
 
-    return texts.mapInPandas(run, "k long, i long")
+    return spread(texts).mapInPandas(run, "k long, i long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.pii_spans import NONE, spots_of
-from framewright.session import cut
+from framewright.session import cut, spread
 
 #: Spots per family of the sample that the classifier is trained on; which ones is set by a hash.
 TRAIN_SPOTS = 4000
@@ -55,7 +55,7 @@ def find_spots(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({"k": pd.Series(keys, dtype=batch.iloc[:, 0].dtype), "spots": pd.Series(out, dtype=object)})
 
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, spots {_SPOT}")
+    return spread(rows).mapInPandas(run, f"k {kind}, spots {_SPOT}")
 
 
 class VoteModel:

@@ -260,17 +260,17 @@ def _name(text: str, start: int, end: int, given: str, middle: str, part: str, f
         return None
     initial = given.endswith(".")
     known = g in GIVEN or all(x in GIVEN for x in g.split("-"))
-    left = _left(text, start)
-    titled = bool(re.search(rf"(?:^|\W){_TITLE}\W?$", left))
-    cue = bool(_NAME_CUE.search(left))
     f = family.lower()
-    ending = re.split(r"[-\s]+", f)[-1].endswith(FAMILY_ENDINGS)
     capital = family[0].isupper()
-    if not known and not (initial and capital) and not ((titled or cue) and capital and given[0].isupper() and ending):
+    if (initial or back and not known) and not capital or (not known and not initial and (back or not capital or not given[0].isupper())):
         return None
-    if back and not known and not initial:
+    ending = re.split(r"[-\s]+", f)[-1].endswith(FAMILY_ENDINGS)
+    if not known and not initial and not ending:
         return None
-    if initial and not capital:
+    left = _left(text, start)
+    titled = bool(re.search(rf"(?:^|\W){_TITLE}\W?$", left))
+    cue = bool(_NAME_CUE.search(left))
+    if not known and not initial and not titled and not cue:
         return None
     right = _right(text, end)
     following = re.match(r"\s+([^\W\d_]+\.?)", right)
