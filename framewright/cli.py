@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from framewright.functions.numeric import minutes_seconds
 from framewright.operators.reports import markdown_table
 from framewright.operators.search import search
-from framewright.operators.sequences import changed, islands, step
+from framewright.operators.sequences import islands
 from framewright.plans.base import frames
 from framewright.session import get_spark
 
@@ -29,7 +29,7 @@ def main(args: list[str] | None = None) -> str:
     hits = search(rows, a.query, ("ocr_text", "caption") if a.captions else ("ocr_text",), regex=a.regex, fuzzy=a.fuzzy)
     by, order = ["video_id"], ["timestamp_sec", "frame_id"]
     if not a.no_group:
-        g = islands(hits, by, order, changed("snippet", by, order) | changed("field", by, order) | (step("timestamp_sec", by, order) > 2.5))
+        g = islands(hits, by, order, lambda p: (F.col("snippet") != p["snippet"]) | (F.col("field") != p["field"]) | (F.col("timestamp_sec") - p["timestamp_sec"] > 2.5), ["snippet", "field", "timestamp_sec"])
         hits = g.groupBy("video_id", "island").agg(F.min("timestamp_sec").alias("timestamp_sec"), F.max("timestamp_sec").alias("end_sec"), F.count("*").alias("frames"), F.min_by("snippet", F.struct(*order)).alias("snippet"))
         hits = hits.select("video_id", "timestamp_sec", minutes_seconds("timestamp_sec").alias("start"), minutes_seconds("end_sec").alias("end"), "frames", "snippet")
     return markdown_table(hits.orderBy("video_id", "timestamp_sec"), a.top_k)

@@ -102,3 +102,28 @@ def pairs_within(df: DataFrame, key: str, vector: str, max_distance: float, digi
 
         found = found.unionByName(rows.mapInPandas(scan, f"a {kind}, b {kind}, distance double"))
     return found
+
+
+def farthest_within(df: DataFrame, by: str, vector: str, block_rows: int = 2048, digits: int = 6) -> DataFrame:
+    """(by, cosine): the least inner product of two members of each group; groups of one have none.
+
+    A group is cut into blocks of ``block_rows`` on average and each pair of blocks is one task that returns one row, so neither a
+    group nor its pairs ever stand in one place. Rows with a null group or vector count for nothing.
+    """
+    rows = df.where(F.col(by).isNotNull() & F.col(vector).isNotNull()).select(F.col(by).alias("g"), F.col(vector).alias("v"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block_rows).alias("n"))
+    b = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("v"), "n"))
+    pairs = b.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("g", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "v")
+    kind = df.schema[by].dataType.simpleString()
+
+    def least(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q, block = pdf.p.iloc[0], pdf.q.iloc[0], pdf.b.to_numpy()
+        x = np.array(pdf.v.tolist(), np.float64)
+        s = x[block == p] @ x[block == q].T
+        if p == q:
+            np.fill_diagonal(s, np.inf)
+        low = float(s.min()) if s.size else np.inf
+        return pd.DataFrame({"g": pdf.g.iloc[:1], "low": [round(low, digits) if np.isfinite(low) else None]}).astype({"low": "float64"})
+
+    found = pairs.groupBy("g", "p", "q").applyInPandas(least, f"g {kind}, low double")
+    return found.where(F.col("low").isNotNull() & ~F.isnan("low")).groupBy(F.col("g").alias(by)).agg(F.min("low").alias("cosine"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
 from framewright.functions import text as X
+from framewright.operators.vectors import farthest_within
 from framewright.plans.base import DETECTIONS, FRAMES, TRACKS, Registry, detections, frames, tracks, with_sql
 from framewright.sources.tables import table
 
@@ -68,9 +69,7 @@ def fragmentation(spark: SparkSession, d: str) -> DataFrame:
 @register("select coalesce(round(min(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[]))), 5), 1.0) as worst_cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id")
 def worst_within_cluster(spark: SparkSession, d: str) -> DataFrame:
     """The least similar pair that shares a label."""
-    e = table(spark, d, "embeddings")
-    pairs = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va")).join(e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb")), "label").where("a < b")
-    return pairs.agg(F.coalesce(F.round(F.min(N.dot("va", "vb")), 5), F.lit(1.0)).alias("worst_cosine"))
+    return farthest_within(table(spark, d, "embeddings"), "label", "embedding").agg(F.coalesce(F.round(F.min("cosine"), 5), F.lit(1.0)).alias("worst_cosine"))
 
 
 _SIL = """v as (select vec_id, label % 4 c, cast(embedding as double[]) e from embeddings), s as (select c, i, sum(e[i]) m from (select c, e, unnest(range(1, 65)) i from v) group by 1, 2), g as (select c, list(m order by i) m, (select count(*) from v where v.c = s.c) n from s group by 1),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
 from framewright.functions import text as X
-from framewright.operators.sequences import changed, islands, scene_cuts, step
+from framewright.operators.sequences import islands, scene_cuts, with_previous
 from framewright.plans.base import DETECTIONS, FRAMES, Registry, detections, frames, with_sql
 from framewright.sources.tables import table
 
@@ -21,8 +21,8 @@ _TIME = ["timestamp_sec", "frame_id"]
 @register("select vec_id, round(list_dot_product(cast(embedding as double[]), cast(lag(embedding) over (partition by label order by vec_id) as double[])), 5) as sim from embeddings")
 def lag_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of each vector to the one before it."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, d, "embeddings").select("vec_id", F.round(N.dot(F.col("embedding"), F.lag("embedding").over(w)), 5).alias("sim"))
+    e = with_previous(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), ["label"], ["vec_id"], ["embedding"], 1000)
+    return e.select("vec_id", F.round(N.dot("embedding", "prev.embedding"), 5).alias("sim"))
 
 
 _CUTS = """l as (select vec_id, vec_id % 97 < 5 card, label, vec_id * 1.5 t, label % 3 video, embedding e from embeddings),
@@ -45,7 +45,7 @@ def cut_points(spark: SparkSession, d: str) -> DataFrame:
     """Where scenes would open before short ones are joined."""
     e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 97 < 5).alias("card"), F.lit(0.0).alias("t"), (F.col("label") % 3).alias("video"), "embedding")
     out = scene_cuts(e, "video", "vec_id", "t", "embedding", "card", threshold=0.05, min_sec=0.0)
-    return out.select("vec_id", (F.coalesce(changed("scene", ["video"], ["vec_id"]), F.lit(True))).alias("cut"))
+    return with_previous(out, ["video"], ["vec_id"], ["scene"], 1000).select("vec_id", (~F.col("scene").eqNullSafe(F.col("prev.scene"))).alias("cut"))
 
 
 _SCENES = "sc as (select video_id, scene_index, min(frame_id) f, arg_min(story_segment, frame_id) seg from frames where scene_index is not null group by 1, 2), ca as (select *, scene_index % 4 = 0 card from sc)"
@@ -67,7 +67,7 @@ _RUNS = "h as (select * from frames where coalesce(ocr_text, '') <> ''), g as (s
 def group_consecutive(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the same text at most 2.5 s apart as one time range."""
     h = frames(spark, d, "video_id", "timestamp_sec", "ocr_text", "filename").where("coalesce(ocr_text, '') <> ''")
-    g = islands(h, _VIDEO, _TIME, changed("ocr_text", _VIDEO, _TIME) | (step("timestamp_sec", _VIDEO, _TIME) > 2.5))
+    g = islands(h, _VIDEO, _TIME, lambda p: (F.col("ocr_text") != p["ocr_text"]) | (F.col("timestamp_sec") - p["timestamp_sec"] > 2.5), ["ocr_text", "timestamp_sec"])
     first = F.struct("timestamp_sec", "frame_id")
     return g.groupBy("video_id", "island").agg(F.min("timestamp_sec").alias("start_sec"), F.max("timestamp_sec").alias("end_sec"), F.count("*").alias("n"), F.min_by("ocr_text", first).alias("snippet"), F.min_by("filename", first).alias("filename")).drop("island")
 

@@ -17,9 +17,9 @@ from framewright.operators.intervals import BUCKET_BITS, coalesce_blocks, period
 from framewright.operators.joins import as_of, range_join, within
 from framewright.operators.models import memoised, with_retries
 from framewright.operators.search import reciprocal_rank_fusion, search
-from framewright.operators.sequences import scene_cuts
+from framewright.operators.sequences import islands, running_count, scene_cuts, with_previous
 from framewright.operators.stages import Stages, fingerprint, guarded
-from framewright.operators.vectors import mean_vector, pairs_within, top_neighbors
+from framewright.operators.vectors import farthest_within, mean_vector, pairs_within, top_neighbors
 
 
 def periods(spans):
@@ -172,6 +172,34 @@ def test_search(spark):
     assert [x.k for x in reciprocal_rank_fusion(r, "k").orderBy(F.desc("score"), "k").collect()] == [1, 3, 2, 4]
 
 
+def test_ordered_rows_across_buckets(spark):
+    rng = random.Random(6)
+    rows = [(g, float(rng.randint(0, 300)), i, rng.choice("ab")) for i, g in enumerate("xxxxxxxxyy" * 12)] + [("x", None, 500, "a"), (None, 1.0, 501, "b"), (None, 99.0, 502, "b")]
+    df = spark.createDataFrame(rows, "g string, t double, i int, v string")
+    order = sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or 0, r[2]))
+    before, count, island = {}, {}, {}
+    for g, part in itertools.groupby(order, key=lambda r: r[0]):
+        last, n, k = None, 0, -1
+        for r in part:
+            n += r[3] == "a"
+            k += last is None or last[3] != r[3]
+            before[r[2]], count[r[2]], island[r[2]] = last and last[3], n, k
+            last = r
+    got = with_previous(df, ["g"], ["t", "i"], ["v"], 25.0).collect()
+    assert len(got) == len(rows) and {r.i: r.prev and r.prev.v for r in got} == before
+    got = running_count(df.withColumn("a", F.col("v") == "a"), ["g"], ["t", "i"], "a", "n", 25.0).collect()
+    assert {r.i: r.n for r in got} == count
+    assert {r.i: r.island for r in islands(df, ["g"], ["t", "i"], lambda p: F.col("v") != p["v"], ["v"], 25.0).collect()} == island
+
+
+def test_farthest_within(spark):
+    x = np.random.default_rng(7).standard_normal((90, 5))
+    g = [i % 3 if i < 88 else i for i in range(90)]
+    df = spark.createDataFrame([(a, [float(v) for v in r]) for a, r in zip(g, x)] + [(None, [1.0] * 5), (1, None)], "g int, v array<double>")
+    want = {k: round(min(x[i] @ x[j] for i in range(90) for j in range(i) if g[i] == g[j] == k), 6) for k in range(3)}
+    assert dict(farthest_within(df, "g", "v", block_rows=7).collect()) == want
+
+
 def test_scene_cuts(spark):
     v = {"a": [1.0, 0.0], "b": [0.0, 1.0]}
     rows = [(i, float(i), v[c], False) for i, c in enumerate("aaaaaabbaaaaaa")]
