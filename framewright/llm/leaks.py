@@ -26,7 +26,7 @@ MIN_WORDS, PER_CHANGE = 15, 8
 #: Words per passage; half of it must hold a quotation of up to 31 words with its changes.
 PASSAGE = 72
 #: Items per index; more items are searched index by index, so that what is broadcast is bounded.
-INDEX_ITEMS = 20000
+INDEX_ITEMS = 4000
 #: Items per block of a posting list, each block with its largest weight.
 BLOCK = 16
 #: Words of the longest exact stretch that every quotation has at least: its matched words lie in one stretch more than it has
