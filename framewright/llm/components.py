@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from framewright.session import cut
 
-#: Steps that a cluster grows per round, and the cut-off of the shifts.
-RADIUS = 3
+#: Steps that a cluster grows per round, and the cut-off of the shifts (7 at most, for the bits of a bid).
+RADIUS = 6
 #: Rate of the exponential shifts: mean 1 / RATE.
-RATE = 0.45
+RATE = 0.4
 #: Bound on rounds; expected are a few times the logarithm of the vertices, so reaching it is an error.
 MAX_ROUNDS = 200
 #: Bits of a vertex number: 33 count within a partition, 11 name one of PARTS partitions.
@@ -32,16 +32,19 @@ NUMBER_BITS, PARTS = 44, 2048
 _ONE = 1 << (NUMBER_BITS + 16)
 
 
-def _start(vertex: str, round_no: int) -> F.Column:
+def _start(vertex: str, seed: str) -> F.Column:
     """The vertex's own bid: its exponential shift, cut off at RADIUS, above its number."""
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(round_no), F.col(vertex)), 11).cast("double") + 1.0) / float(1 << 53)
+    unit = (F.shiftrightunsigned(F.xxhash64(seed, vertex), 11).cast("double") + 1.0) / float(1 << 53)
     shift = F.least(-F.log(unit) / RATE, F.lit(float(RADIUS)))
     return F.shiftleft((shift * 65536).cast("long"), NUMBER_BITS).bitwiseOR(F.col(vertex))
 
 
-def decompose(edges: DataFrame, round_no: int) -> DataFrame:
-    """(v, c): the cluster centre of each vertex of ``edges`` (src, dst, cost), symmetric and with loops of cost 0."""
-    bids = edges.where("src = dst").select(F.col("src").alias("v"), _start("src", round_no).alias("bid"))
+def decompose(edges: DataFrame) -> DataFrame:
+    """(v, c): the cluster centre of each vertex of ``edges`` (src, dst, seed, cost), symmetric and with loops of cost 0.
+
+    The round's seed is data and no constant of the plan, so that the code compiled for one round serves the others.
+    """
+    bids = edges.where("src = dst").select(F.col("src").alias("v"), _start("src", "seed").alias("bid"))
     for _ in range(RADIUS):
         sent = edges.join(bids, edges.src == bids.v).select("dst", (F.col("bid") - F.col("cost")).alias("bid")).where("bid >= 0")
         bids = sent.groupBy(F.col("dst").alias("v")).agg(F.max("bid").alias("bid"))
@@ -49,8 +52,8 @@ def decompose(edges: DataFrame, round_no: int) -> DataFrame:
 
 
 def _with_loops(links: DataFrame) -> DataFrame:
-    """Distinct symmetric links (src, dst) with their costs and a loop for every vertex."""
-    loops = links.select("src", F.col("src").alias("dst"))
+    """Distinct symmetric links (src, dst, seed) with their costs and a loop for every vertex."""
+    loops = links.select("src", F.col("src").alias("dst"), "seed")
     return links.unionByName(loops).distinct().withColumn("cost", F.when(F.col("src") == F.col("dst"), F.lit(0)).otherwise(F.lit(_ONE)).cast("long"))
 
 
@@ -66,15 +69,16 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     numbers = cut(ids.coalesce(PARTS).withColumn("v", F.monotonically_increasing_id()))
     number = lambda old, new: numbers.select(F.col("member").alias(old), F.col("v").alias(new))
     pair = links.join(number("a", "src"), "a").join(number("b", "dst"), "b").select("src", "dst")
-    edges = cut(_with_loops(pair.unionByName(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+    both = pair.unionByName(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edges = cut(_with_loops(both.withColumn("seed", F.lit(0).cast("long"))))
     levels: list[DataFrame] = []
     while not edges.isEmpty():
         if len(levels) == MAX_ROUNDS:
             raise RuntimeError(f"components: links left after {MAX_ROUNDS} rounds")
-        level = cut(decompose(edges, len(levels)))
+        level = cut(decompose(edges))
         levels.append(level)
         at = lambda side: level.select(F.col("v").alias(side), F.col("c").alias(f"{side}_c"))
-        moved = edges.where("cost > 0").join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst"))
+        moved = edges.where("cost > 0").join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst"), (F.col("seed") + 1).alias("seed"))
         edges = cut(_with_loops(moved.where("src <> dst")))
     if not levels:
         return links.select(F.col("a").alias("member"), F.col("b").alias("group_id"))
