@@ -10,11 +10,12 @@ one row per chunk, and since the cost is a sum over neighbours, runs that go on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +70,16 @@ def segment(cost: np.ndarray, forced: np.ndarray, penalty: float = PENALTY) -> n
 
     Minimises the sum of ``cost`` within runs plus ``penalty`` per unforced boundary; equal totals prefer fewer boundaries.
     """
-    n = len(cost)
-    if not n:
+    if not len(cost):
         return np.empty(0, int)
+    # A neighbour that costs nothing never opens a run in an optimum with the fewest boundaries.
+    may = np.flatnonzero(forced | (cost != 0))
+    may = may if len(may) and may[0] == 0 else np.concatenate([[0], may])
+    return may[_segment(cost[may], forced[may], penalty)]
+
+
+def _segment(cost: np.ndarray, forced: np.ndarray, penalty: float) -> np.ndarray:
+    n = len(cost)
     within = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(cost[1:]) & ~forced[1:], cost[1:], 0.0))])
     wall = np.maximum.accumulate(np.where(forced | ~np.isfinite(cost), np.arange(n), 0))
     best, back, open_ = np.zeros(n + 1), np.zeros(n + 1, int), [0]
@@ -138,22 +146,28 @@ def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str,
     )
     out = f"e {kind}, chunk long, run int, runs int, first_key {key_kind}, last_key {key_kind}, n long, from_sec double, to_sec double, blank boolean, head array<string>, tail array<string>"
 
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "k", "a", "b"], kind="stable").drop_duplicates("k", keep="first")
-        texts = list(zip(pdf.a, pdf.na, pdf.b, pdf.nb))
-        t = pdf.t.to_numpy()
-        cost, forced = _neighbour_costs(texts, np.diff(t, prepend=t[:1]))
-        start = segment(cost, forced)
-        end = np.append(start[1:], len(pdf)) - 1
-        k = pdf.k.to_numpy()
-        return pd.DataFrame(
+    def runs(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("t", "k", "a", "b")]))
+        seen: set = set()
+        first = [i for i, k in enumerate(rows["k"].to_pylist()) if not (k in seen or seen.add(k))]
+        if len(first) < rows.num_rows:
+            rows = rows.take(first)
+        texts = list(zip(*(rows[c].to_pylist() for c in ("a", "na", "b", "nb"))))
+        t = rows["t"].to_numpy()
+        start = segment(*_neighbour_costs(texts, np.diff(t, prepend=t[:1])))
+        end = np.append(start[1:], len(t)) - 1
+        n = len(start)
+        same = lambda c: rows[c].take([0] * n)
+        texts_at = lambda i, at: pa.array([list(texts[i]) if j == at else None for j in range(n)], pa.list_(pa.string()))
+        return pa.table(
             {
-                "e": pdf.e.iloc[0], "chunk": pdf.chunk.iloc[0], "run": np.arange(len(start)), "runs": len(start), "first_key": k[start], "last_key": k[end], "n": end - start + 1,
-                "from_sec": t[start], "to_sec": t[end], "blank": [not any(texts[i]) for i in start], "head": [list(texts[i]) for i in start], "tail": [list(texts[i]) for i in end],
+                "e": same("e"), "chunk": same("chunk"), "run": pa.array(range(n), pa.int32()), "runs": pa.array([n] * n, pa.int32()), "first_key": rows["k"].take(start), "last_key": rows["k"].take(end), "n": pa.array(end - start + 1, pa.int64()),
+                "from_sec": pa.array(t[start]), "to_sec": pa.array(t[end]), "blank": pa.array([not any(texts[i]) for i in start]),
+                "head": texts_at(0, 0), "tail": texts_at(-1, n - 1),  # only the ends of a chunk are compared again
             }
         )
 
-    local = rows.groupBy("e", "chunk").applyInPandas(runs, out)
+    local = rows.groupBy("e", "chunk").applyInArrow(runs, out)
     # One row per chunk decides whether its first run goes on from the chunk before; runs are joined by a running start.
     edge = local.groupBy("e", "chunk").agg(
         F.min_by(F.struct("head", "from_sec"), "run").alias("h"), F.max_by(F.struct("tail", "to_sec"), "run").alias("l"), F.first("runs").alias("runs")
