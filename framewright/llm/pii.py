@@ -132,9 +132,9 @@ def fit(spots: DataFrame) -> tuple[dict[str, VoteModel], np.ndarray]:
     for family, c in sorted(counts.items()):
         share = min(1.0, TRAIN_SPOTS / max(1, sum(c.values())))
         own = flat.where((F.col("family") == family) & (F.pmod(F.xxhash64("votes", "words", "start"), F.lit(1 << 20)) < int(share * (1 << 20))))
-        for r in own.select("votes", "words").limit(2 * TRAIN_SPOTS).collect():
-            sample.append((family, r.votes, list(r.words)))
-            labels.append(models[family].probability(r.votes))
+        for votes, words in sorted((r.votes, list(r.words)) for r in own.select("votes", "words").limit(2 * TRAIN_SPOTS).collect()):
+            sample.append((family, votes, words))
+            labels.append(models[family].probability(votes))
     return models, train(sample, np.array(labels)) if sample else np.zeros(FEATURES)
 
 
