@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
 from framewright.functions import text as X
+from framewright.operators.tables import one_row
 from framewright.operators.vectors import mean_vector
 from framewright.plans.base import DETECTIONS, FRAMES, IDENTITIES, TRACKS, Registry, detections, frames, identities, tracks, with_sql
 from framewright.sources.tables import table
@@ -54,7 +55,7 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     """Totals of a run; identities of many detections count as featured."""
     s = stats(spark, d).agg(F.count("*").alias("n_identities"), F.count_if(F.col("frame_count") >= 900).alias("featured"), F.sum("appearances").alias("n_tracks"), F.round(F.sum("screen_time"), 1).alias("screen_time"))
     seen = detections(spark, d).agg(F.countDistinct("track_id").alias("seen_tracks"))
-    return s.crossJoin(seen)  # one row each
+    return one_row(s, seen)
 
 
 @register(with_sql(DETECTIONS, TRACKS) + "select frame_id, list_sort(list(distinct face_id)) as face_ids from det join trk using (track_id) where face_id <> 'unknown' group by 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
 from framewright.operators.clustering import complete_linkage, label_components
+from framewright.operators.tables import one_row
 from framewright.operators.vectors import farthest_within, mean_vector, pairs_within
 from framewright.plans.base import DETECTIONS, TRACKS, Registry, detections, tracks, with_sql
 from framewright.sources.tables import table
@@ -88,7 +89,7 @@ def link_sweep(spark: SparkSession, d: str) -> DataFrame:
     for limit in (0.60, 0.66, 0.72):
         c = linked(spark, d, limit)
         worst = farthest_within(_nodes(spark, d).join(c, "vec_id"), "cluster", "v").agg(F.coalesce(F.min("cosine"), F.lit(1.0)).alias("worst_cosine"))
-        row = c.agg(F.lit(limit).alias("limit"), F.countDistinct("cluster").alias("n_clusters")).crossJoin(worst)  # one row each
+        row = one_row(c.agg(F.lit(limit).alias("limit"), F.countDistinct("cluster").alias("n_clusters")), worst)
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
 from framewright.functions import text as X
+from framewright.operators.joins import range_join
+from framewright.operators.tables import one_row
 from framewright.operators.vectors import farthest_within
 from framewright.plans.base import DETECTIONS, FRAMES, TRACKS, Registry, detections, frames, tracks, with_sql
 from framewright.sources.tables import table
@@ -37,7 +39,7 @@ def contingency(df: DataFrame, true: str, predicted: str) -> DataFrame:
     z = n.agg(F.sum("n").cast("double").alias("nn"), pairs("n").alias("tp"), ent("n").alias("hn"))
     a = n.groupBy("t").agg(F.sum("n").alias("n")).agg(pairs("n").alias("ta"), ent("n").alias("ha"))
     b = n.groupBy("p").agg(F.sum("n").alias("n")).agg(pairs("n").alias("tb"), ent("n").alias("hb"))
-    return z.crossJoin(a).crossJoin(b)  # one row each
+    return one_row(z, a, b)
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -95,8 +97,6 @@ def silhouette(spark: SparkSession, d: str) -> DataFrame:
     + "select count(*) as n_pairs, round(coalesce(avg(cast(x.face_id = y.face_id and x.face_id <> 'unknown' as int)), 1.0), 6) as recall from e a join e b on b.f0 - a.f1 between 1 and 60 and a.track_id <> b.track_id join trk x on x.track_id = a.track_id join trk y on y.track_id = b.track_id")
 def continuity_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of tracks that follow each other within 60 frames and bear the same known identity."""
-    from framewright.operators.joins import range_join
-
     e = detections(spark, d).where("frame_id % 4 = 0").groupBy("track_id").agg(F.min("frame_id").alias("f0"), F.max("frame_id").alias("f1")).join(tracks(spark, d).select("track_id", "face_id"), "track_id")
     a = e.select(F.lit(0).alias("g"), F.col("track_id").alias("ta"), F.col("face_id").alias("fa"), (F.col("f1") + 1).alias("lo"), (F.col("f1") + 60).alias("hi"))
     b = e.select(F.lit(0).alias("g"), F.col("track_id").alias("tb"), F.col("face_id").alias("fb"), "f0")
@@ -172,5 +172,5 @@ def derived_findings(spark: SparkSession, d: str) -> DataFrame:
 def staleness(spark: SparkSession, d: str) -> DataFrame:
     """Which source is older than the newest by more than a day."""
     per = table(spark, d, "documents").groupBy("source").agg(F.max("created_at").alias("newest"))
-    top = per.agg(F.max("newest").alias("top"))
-    return per.crossJoin(top).select("source", "newest", F.expr("newest < top - interval 1 day").alias("stale"))  # one row on the right
+    top = F.max("newest").over(Window.partitionBy())  # over one row per source
+    return per.withColumn("top", top).select("source", "newest", F.expr("newest < top - interval 1 day").alias("stale"))

@@ -133,11 +133,11 @@ def clean_segments(spark: SparkSession, d: str) -> DataFrame:
 @register("select doc_id, regexp_matches(lower(coalesce(text, '')), '\\b(tunnel|handrail|ticket barrier)\\b') as relevant from documents")
 def term_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Whether a document has one of the query's terms as whole words."""
-    terms = "|".join(F_quote(t) for t in ("tunnel", "handrail", "ticket barrier"))
+    terms = "|".join(as_literal(t) for t in ("tunnel", "handrail", "ticket barrier"))
     return table(spark, d, "documents").select("doc_id", F.lower(X.filled("text")).rlike(rf"\b({terms})\b").alias("relevant"))
 
 
-def F_quote(term: str) -> str:
+def as_literal(term: str) -> str:
     """A term as a literal within a regular expression."""
     return "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in term.lower())
 

@@ -113,8 +113,8 @@ def fused_search(spark: SparkSession, d: str) -> DataFrame:
 def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Share of relevant texts among the first five returned, per query."""
     docs = table(spark, d, "documents").where(F.lower(X.filled("text")).contains("the")).orderBy("doc_id").limit(5)
-    q = spark.createDataFrame([("tunnel", r"\b(tunnel|shaft)\b"), ("bench", r"\b(bench|seat)\b")], "query string, terms string")
-    return docs.crossJoin(q).groupBy("query").agg(F.round(F.avg(F.expr("cast(lower(coalesce(text, '')) rlike terms as int)")), 6).alias("precision"))  # five texts by two queries
+    q = F.array(*[F.struct(F.lit(n).alias("query"), F.lit(rf"\b({t})\b").alias("terms")) for n, t in (("tunnel", "tunnel|shaft"), ("bench", "bench|seat"))])
+    return docs.select("text", F.inline(q)).groupBy("query").agg(F.round(F.avg(F.expr("cast(lower(coalesce(text, '')) rlike terms as int)")), 6).alias("precision"))
 
 
 @register(with_sql(IDENTITIES) + "select face_id, round(sum(duration_sec), 3) as screen_time from ids where face_id is not null group by 1 order by 2 desc, 1 limit 30")
