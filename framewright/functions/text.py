@@ -162,13 +162,13 @@ def first_json_array(text: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def json_array_python(s: pd.Series) -> pd.Series:
     """Arrow batches of ``first_json_array``."""
-    return s.map(first_json_array)
+    return pd.Series([first_json_array(t) if isinstance(t, str) else None for t in s], dtype=object)
 
 
 @F.pandas_udf(StringType())
 def without_repetition_python(s: pd.Series) -> pd.Series:
     """Arrow batches of ``collapse_repetition``; null stays null."""
-    return s.map(lambda t: None if t is None else collapse_repetition(t))
+    return pd.Series([collapse_repetition(t) if isinstance(t, str) else None for t in s], dtype=object)
 
 
 def fuzzy_match_python(query: str, cutoff: float = 0.8):
@@ -184,7 +184,7 @@ def fuzzy_match_python(query: str, cutoff: float = 0.8):
                 known[word] = bool(difflib.get_close_matches(word, wanted, n=1, cutoff=cutoff)) or any(difflib.get_close_matches(q, [word], n=1, cutoff=cutoff) for q in wanted)
             return known[word]
 
-        return s.map(lambda t: any(hit(w) for w in (t or "").lower().split()))
+        return pd.Series([isinstance(t, str) and any(hit(w) for w in t.lower().split()) for t in s], dtype=bool)
 
     return near
 
@@ -210,6 +210,6 @@ def snap_to_lexicon_python(lexicon: list[str], cutoff: float = 0.75, min_len: in
 
     @F.pandas_udf("string")
     def snap(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        return pd.Series([one(w) if isinstance(w, str) else None for w in s], dtype=object)
 
     return snap

@@ -58,8 +58,12 @@ def complete_linkage(nodes: DataFrame, cannot: DataFrame, key: str, vector: str,
     """(key, cluster): clusters named by their smallest key.
 
     nodes: (key, vector of length one); pairs: (a, b) candidate pairs that include all within the limit; cannot: (a, b) pairs that may
-    never share a cluster. Keys decide the order of ties. Nodes without candidates stay alone.
+    never share a cluster. Keys decide the order of ties. Nodes without candidates stay alone. Nodes with a null key or vector are left
+    out, repeated keys count once, pairs that name a missing node count for nothing.
     """
+    nodes = nodes.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).dropDuplicates([key])
+    known = nodes.select(F.col(key).alias("a"))
+    pairs = pairs.join(known, "a", "left_semi").join(known.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
     comp = label_components(pairs, nodes, "a", "b", key)
     own = nodes.join(comp, key)
     edge = cannot.join(comp.select(F.col(key).alias("a"), "component"), "a").join(comp.select(F.col(key).alias("b"), F.col("component").alias("other")), "b").where("component = other")

@@ -30,9 +30,14 @@ def search(df: DataFrame, query: str | None, fields: tuple[str, ...] = ("ocr_tex
 
 
 def rank_by_vector(index: DataFrame, key: str, vector: str, query: list[float], top_k: int = 20, min_score: float = 0.2, digits: int = 6) -> DataFrame:
-    """(key, score, rank): the top_k rows by inner product with the query, those under ``min_score`` dropped afterwards."""
+    """(key, score, rank): the top_k rows by inner product with the query, those under ``min_score`` dropped afterwards.
+
+    Rows with a null key or vector, or a vector of another length than the query's, don't rank; an empty query ranks none.
+    """
+    if not query:
+        return index.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("1 = 0")
     q = F.array(*[F.lit(float(x)) for x in query])
-    s = index.where(F.size(vector) == len(query)).select(key, F.round(N.dot(F.col(vector), q), digits).alias("score"))
+    s = index.where(F.col(key).isNotNull() & (F.size(vector) == len(query))).select(key, F.round(N.dot(F.col(vector), q), digits).alias("score"))
     top = s.orderBy(F.desc("score"), key).limit(top_k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key))).where(F.col("score") >= min_score)
 

@@ -18,7 +18,8 @@ QUERIES, SQL = register.queries, register.sql
 
 
 def _query_vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
-    return table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]
+    row = table(spark, d, "embeddings").where((F.col("vec_id") == vec_id) & F.col("embedding").isNotNull()).select("embedding").first()
+    return row[0] if row else []
 
 
 _TOP = "q as (select embedding e from embeddings where vec_id = {q}), s as (select vec_id, label, round(list_dot_product(cast(embedding as double[]), cast(q.e as double[])), 6) score from embeddings, q), t as (select *, row_number() over (order by score desc, vec_id) r from s)"
@@ -84,8 +85,8 @@ _VIS = "q as (select any_value(embeddings) e from image_index where frame_ids =
 def visual_search(spark: SparkSession, d: str) -> DataFrame:
     """The same operator over the picture index."""
     i = table(spark, d, "image_index").where("frame_ids is not null and size(embeddings) = 64 and not exists(embeddings, x -> isnan(x))").select(F.col("frame_ids").alias("frame_id"), "embeddings").dropDuplicates(["frame_id"])
-    q = i.where("embeddings[0] <> 0").orderBy("frame_id").first()[1]
-    return rank_by_vector(i, "frame_id", "embeddings", q, 20, 0.2, digits=5).join(frames(spark, d, "filename"), "frame_id").select("frame_id", "score", "filename")
+    first = i.where("embeddings[0] <> 0").orderBy("frame_id").first()
+    return rank_by_vector(i, "frame_id", "embeddings", first[1] if first else [], 20, 0.2, digits=5).join(frames(spark, d, "filename"), "frame_id").select("frame_id", "score", "filename")
 
 
 _FUSE = "a as (select vec_id, row_number() over (order by round(list_dot_product(cast(embedding as double[]), cast((select embedding from embeddings where vec_id = 5) as double[])), 6) desc, vec_id) r from embeddings), b as (select vec_id, row_number() over (order by round(list_dot_product(cast(embedding as double[]), cast((select embedding from embeddings where vec_id = 9) as double[])), 6) desc, vec_id) r from embeddings), u as (select * from a where r <= 50 union all select * from b where r <= 50), f as (select vec_id, sum(1.0 / (60 + r)) s from u group by 1)"
