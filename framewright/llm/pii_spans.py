@@ -15,17 +15,14 @@ NONE = "none"
 
 #: Common given names by which a name is recognised whatever its case.
 GIVEN = set(
-    """aaron adam adrian agnes ahmed aisha alan albert alejandro alex alexander alexandra ali alice amina amira amy ana andrea andreas andrew angela anita anna
-    anne anneliese annette anton antonio arthur astrid barbara beatrice begoña ben benjamin benoît bernard björn boris brian bruno camille carla carlos carmen caroline
-    catherine cécile charles charlotte chen chiara chloé chris christian christine claire clara claudia clément colin daniel daniela david deborah dennis diana diego dieter dora
-    edith eduardo edward elena eleanor elif elisabeth elizabeth ella emil emily emma eric erik ernst esther étienne eva fatima felix fernando fiona florian frances francisco frank
-    françois franz friedrich gabriel george georg gerard gérard gerhard gloria gonzalo grace graham greta guillaume günther hannah hans harold harry hassan heike heinrich heinz helen helena
-    hélène helga henri henry hugh hugo ian ibrahim ida ines inés ingrid íñigo irene isabel ivan jack jacques james jan jane javier jean jennifer jens jeremy joan johann john jonas jorge josé joseph juan
-    judith julia julie julien jürgen karen karim karin karl käthe katherine keith kevin klaus kofi kwame lars laura leila leon leonard lena léa linda lisa louis louise luc lucas lucía lucy luis lukas
-    magnus manfred manuel marco margaret maria maría marie mario mark marta martha martin mary mathilde matthew matthias maurice max mehmet mei michael michel miguel mohammed monica monika nadia nathalie neil
-    nicolas nicole nina noah noémie nora nuria olga oliver olivia omar oscar pablo patricia patrick paul paula pedro peter petra philip philippe pierre pilar priya rachel rafael raj ralf ramón ramon raúl ravi
-    rebecca renate richard robert roberto roger rosa ruth sabine samir samuel sandra sara sarah sébastien sergio simon sofia sofía sonia sophie stefan stella stephen steven susan sven sylvie teresa thérèse thomas tim
-    tobias tom tomasz ulrich ursula valerie vera victor víctor vincent walter werner william wolfgang xavier yasmin yuki yusuf yves yvonne zoe zoë álvaro ángel ana lucia maría jose""".split()
+    """adam adrian ahmed aisha alan albert alejandro alex alexander alice amina amira amy ana andrea andreas andrew angela anita anna anne anneliese antonio arthur
+    begoña benjamin benoît björn brian camille carla carlos carmen caroline catherine charles charlotte chloé christian christine claire clara claudia
+    daniel daniela david diana diego elena elisabeth elizabeth emily emma eric erik étienne eva fatima felix fernando fiona francisco frank françois friedrich
+    george gérard gloria grace graham greta hannah hans harry hassan heike heinrich helen helena hélène henri henry hugh ian ines inés ingrid íñigo irene isabel ivan
+    jack james jan jane javier jean jennifer joan johann john jonas jorge josé joseph juan judith julia julie jürgen karen karim karl käthe katherine kofi laura leila
+    leonard lena linda louis louise luc lucas lucía lucy lukas marco maria maría marie marta martha martin mary mathilde matthew
+    matthias max mei michael miguel monica nadia nicolas nina noah noémie nora nuria olga oliver oscar pablo patricia paul paula pedro peter philip pierre pilar priya
+    rachel ramón raúl rebecca richard robert rosa ruth sabine samuel sandra sara sarah simon sofia stefan thomas tomasz ursula victor yusuf yves yvonne zoe álvaro ángel""".split()
 )
 #: Endings that family names of several languages share.
 FAMILY_ENDINGS = ("mere", "ley", "ell", "ova", "low", "beck", "ham", "iak", "wick", "ello", "ander", "ard", "quist", "well", "mann", "man", "eaux", "stad", "stadt", "ez", "sen", "son", "ski", "ska", "berg", "stein", "ton", "ford", "field", "er", "ov", "ev", "ini", "etti", "escu", "sson", "wood", "worth", "croft")
