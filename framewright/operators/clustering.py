@@ -3,19 +3,30 @@
 Complete-linkage merging is global, but a merge under a distance limit never joins two clusters from different connected
 components of the graph of pairs within the limit: the farthest pair between them is beyond it. So the pairs within the limit are
 found first, components split the work, and each component is merged on its own, in the order of the smallest distance.
+
+Components too large for one task are merged in rounds over the table of cluster pairs within the limit. Complete linkage is reducible,
+ties by key included: a merge never brings a third cluster nearer. So pairs that are each other's nearest stay so until they merge, and
+merging all of them at once gives the clusters of the one-by-one order.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.vectors import pairs_within
 from framewright.session import cut
 
-#: Members of a component that are merged in one task; larger ones are an error that asks for a lower limit.
-MAX_MEMBERS = 20000
+#: Members of a component that one task merges by matrices of 128 MB each; larger components merge in rounds.
+DENSE_MEMBERS = 4000
+#: Cluster pairs within the limit that one task takes over from the rounds.
+TASK_PAIRS = 250_000
 
 
 def label_components(edges: DataFrame, nodes: DataFrame, a: str, b: str, key: str) -> DataFrame:
@@ -54,6 +65,66 @@ def merge_members(dist: np.ndarray, allowed: np.ndarray, limit: float) -> np.nda
     return cluster
 
 
+def merge_pairs(pairs: list[tuple]) -> list[tuple]:
+    """(old, new) for each cluster that joins a smaller one; pairs: (distance, a, b) with a < b, all that may merge."""
+    near: dict = defaultdict(dict)
+    for d, a, b in pairs:
+        near[a][b] = near[b][a] = d
+    heapq.heapify(pairs)
+    joined = []
+    while pairs:
+        d, i, j = heapq.heappop(pairs)
+        if near[i].get(j) != d:
+            continue
+        kept, gone = near[i], near.pop(j)
+        joined.append((j, i))
+        for k in kept:
+            if k != j:
+                del near[k][i]
+        for k in gone:
+            if k != i:
+                del near[k][j]
+        near[i] = {}
+        for k in kept.keys() & gone.keys():
+            near[i][k] = near[k][i] = far = max(kept[k], gone[k])
+            if far != kept[k]:
+                heapq.heappush(pairs, (far, min(i, k), max(i, k)))
+    return joined
+
+
+def merge_rounds(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(key, cluster) by complete linkage of any number of members; pairs: (a, b, distance) with a < b, all that may merge.
+
+    A pair of clusters is in the table while all pairs of their members are; it carries the farthest of them.
+    """
+    kind = nodes.schema[key].dataType.simpleString()
+    labels = nodes.select(key, F.col(key).alias("cluster"))
+    pairs = cut(pairs.select("a", "b", (F.col("distance") + 0.0).alias("distance")))
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [row for x in batches for row in zip(x.distance.tolist(), x.a.tolist(), x.b.tolist())]
+        root: dict = {}
+        for old, new in reversed(merge_pairs(found)):
+            root[old] = root.get(new, new)
+        yield pd.DataFrame({"old": list(root), "new": list(root.values())})
+
+    def renamed(joined: DataFrame) -> DataFrame:
+        return labels.join(joined.withColumnRenamed("old", "cluster"), "cluster", "left").select(key, F.coalesce("new", "cluster").alias("cluster"))
+
+    while pairs.count() > TASK_PAIRS:
+        p = F.struct("distance", "a", "b").alias("p")
+        best = pairs.select(F.explode(F.array("a", "b")).alias("u"), p).groupBy("u").agg(F.min("p").alias("p"))
+        joined = cut(best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select(F.col("p.b").alias("old"), F.col("p.a").alias("new")))
+        labels = cut(renamed(joined))
+        moved = cut(joined.union(joined.select("new", "new")))
+        of = lambda s: moved.select(F.col("old").alias(s), F.col("new").alias(f"n{s}"))
+        step = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("ca", F.coalesce("na", "a")).withColumn("cb", F.coalesce("nb", "b")).where("ca <> cb")
+        parts = F.when(F.col("na").isNull(), 1).otherwise(2) * F.when(F.col("nb").isNull(), 1).otherwise(2)
+        whole = step.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("distance").alias("distance"), F.count("*").alias("n"), F.max(parts).alias("parts"))
+        pairs = cut(whole.where("n = parts").select("a", "b", "distance"))
+    return renamed(pairs.coalesce(1).mapInPandas(rest, f"old {kind}, new {kind}"))
+
+
 def complete_linkage(nodes: DataFrame, cannot: DataFrame, key: str, vector: str, pairs: DataFrame, limit: float) -> DataFrame:
     """(key, cluster): clusters named by their smallest key.
 
@@ -68,14 +139,13 @@ def complete_linkage(nodes: DataFrame, cannot: DataFrame, key: str, vector: str,
     own = nodes.join(comp, key)
     edge = cannot.join(comp.select(F.col(key).alias("a"), "component"), "a").join(comp.select(F.col(key).alias("b"), F.col("component").alias("other")), "b").where("component = other")
     kind = nodes.schema[key].dataType.simpleString()
-    left = own.select(F.col("component").alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"))
-    right = edge.select(F.col("component").alias("h"), "a", "b")
+    large = cut(comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > DENSE_MEMBERS).select("component"))
+    left = own.join(large, "component", "left_anti").select(F.col("component").alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"))
+    right = edge.join(large, "component", "left_anti").select(F.col("component").alias("h"), "a", "b")
 
     def run(group: pd.DataFrame, apart: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
             return pd.DataFrame({"k": group.k, "cluster": group.k})
-        if len(group) > MAX_MEMBERS:
-            raise RuntimeError(f"complete_linkage: a component of {len(group)} members; lower the limit")
         group = group.sort_values("k")
         keys = group.k.to_numpy()
         x = np.array(group.v.tolist(), np.float64)
@@ -87,4 +157,11 @@ def complete_linkage(nodes: DataFrame, cannot: DataFrame, key: str, vector: str,
         return pd.DataFrame({"k": keys, "cluster": keys[c]})
 
     out = left.groupBy("g").cogroup(right.groupBy("h")).applyInPandas(run, f"k {kind}, cluster {kind}")
-    return out.withColumnRenamed("k", key)
+    out = out.withColumnRenamed("k", key)
+    if large.isEmpty():
+        return out
+    rest = cut(own.join(large, "component", "left_semi").select(key, vector, "component"))
+    of = lambda s: rest.select(F.col(key).alias(s), F.col("component").alias(f"c{s}"))
+    near = pairs_within(rest, key, vector, limit).join(of("a"), "a").join(of("b"), "b").where("ca = cb")
+    near = near.join(edge.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return out.unionByName(merge_rounds(near, rest, key))

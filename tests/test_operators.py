@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
 from framewright.functions import text as X
+from framewright.operators import clustering as C
 from framewright.operators import narration as T
 from framewright.operators.clustering import complete_linkage, label_components, merge_members
 from framewright.operators.intervals import BUCKET_BITS, coalesce_blocks, periods_and_gaps
@@ -128,6 +129,25 @@ def test_components_and_linkage(spark):
     assert merge_members(np.array([[0.0]]), np.array([[True]]), 1.0).tolist() == [0]
 
 
+@pytest.mark.parametrize("task_pairs", [0, 60, 10**6])
+def test_linkage_of_large_components(spark, monkeypatch, task_pairs):
+    monkeypatch.setattr(C, "MAX_MEMBERS", 8, raising=False)
+    monkeypatch.setattr(C, "DENSE_MEMBERS", 8, raising=False)
+    monkeypatch.setattr(C, "TASK_PAIRS", task_pairs, raising=False)
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 2, (50, 6)).astype(float)  # many equal distances
+    x[:, 0] += 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cannot = [(0, 1), (12, 9), (3, 30), (5, 6), (40, 2)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>")
+    allowed = np.ones((50, 50), bool)
+    for a, b in cannot:
+        allowed[a, b] = allowed[b, a] = False
+    got = dict(complete_linkage(df, spark.createDataFrame(cannot, "a int, b int"), "id", "v", pairs_within(df, "id", "v", 0.2).select("a", "b"), 0.2).collect())
+    want = merge_members(np.round(1 - x @ x.T, 9), allowed, 0.2).tolist()
+    assert got == dict(enumerate(want)) and 3 < len(set(want)) < 25
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((60, 8))
