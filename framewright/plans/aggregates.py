@@ -90,7 +90,7 @@ def track_rollup(spark: SparkSession, d: str) -> DataFrame:
 @register(with_sql(DETECTIONS, TRACKS) + "select face_id, count(*) as n from det join trk using (track_id) where frame_id % 50 = 0 group by 1 having count(*) >= 2 or count_if(quality_ok = 1) >= 1 or count_if(det_score >= 0.55) >= 1")
 def corroborated_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters that two detections or one good one vouch for."""
-    j = detections(spark, d).where("frame_id % 50 = 0").join(tracks(spark, d).select("track_id", "face_id"), "track_id")
+    j = detections(spark, d).join(tracks(spark, d).select("track_id", "face_id"), "track_id")
     g = j.groupBy("face_id").agg(F.count("*").alias("n"), F.count_if(F.col("quality_ok") == 1).alias("hq"), F.count_if(F.col("det_score") >= SURE_SCORE).alias("sure"))
     return g.where("n >= 2 or hq >= 1 or sure >= 1").select("face_id", "n")
 
@@ -119,7 +119,7 @@ def track_templates(spark: SparkSession, d: str) -> DataFrame:
 @register(with_sql(DETECTIONS) + "select crop_id, track_id from (select *, max(quality_ok) over (partition by track_id) best from det where frame_id % 10 = 0) where quality_ok = best")
 def prefer_quality(spark: SparkSession, d: str) -> DataFrame:
     """The good detections of each track, or all where none is good."""
-    det = detections(spark, d).where("frame_id % 10 = 0")
+    det = detections(spark, d)
     best = det.groupBy("track_id").agg(F.max("quality_ok").alias("quality_ok"))
     return det.join(best, ["track_id", "quality_ok"]).select("crop_id", "track_id")
 
