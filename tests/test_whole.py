@@ -29,3 +29,9 @@ def write(folder, **data):
 @pytest.mark.parametrize("name, clause", [("corroborated_clusters", " where frame_id % 50 = 0"), ("prefer_quality", " where frame_id % 10 = 0")])
 def test_aggregates_of_all_detections(spark, name, clause):
     assert assert_whole(spark, aggregates, name, clause)
+
+
+@tables
+@pytest.mark.parametrize("name, clause", [("cannot_link", " where a.frame_id % 5 = 0"), ("co_occurrence", " and frame_id % 3 = 0")])
+def test_pairs_of_all_frames(spark, name, clause):
+    assert assert_whole(spark, clustering, name, clause)
