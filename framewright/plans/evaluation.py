@@ -97,7 +97,7 @@ def silhouette(spark: SparkSession, d: str) -> DataFrame:
     + "select count(*) as n_pairs, round(coalesce(avg(cast(x.face_id = y.face_id and x.face_id <> 'unknown' as int)), 1.0), 6) as recall from e a join e b on b.f0 - a.f1 between 1 and 60 and a.track_id <> b.track_id join trk x on x.track_id = a.track_id join trk y on y.track_id = b.track_id")
 def continuity_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of tracks that follow each other within 60 frames and bear the same known identity."""
-    e = detections(spark, d).where("frame_id % 4 = 0").groupBy("track_id").agg(F.min("frame_id").alias("f0"), F.max("frame_id").alias("f1")).join(tracks(spark, d).select("track_id", "face_id"), "track_id")
+    e = detections(spark, d).groupBy("track_id").agg(F.min("frame_id").alias("f0"), F.max("frame_id").alias("f1")).join(tracks(spark, d).select("track_id", "face_id"), "track_id")
     a = e.select(F.lit(0).alias("g"), F.col("track_id").alias("ta"), F.col("face_id").alias("fa"), (F.col("f1") + 1).alias("lo"), (F.col("f1") + 60).alias("hi"))
     b = e.select(F.lit(0).alias("g"), F.col("track_id").alias("tb"), F.col("face_id").alias("fb"), "f0")
     p = range_join(b, a, by="g", point="f0", start="lo", end="hi", width=60).where("ta <> tb")

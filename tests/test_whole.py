@@ -35,3 +35,18 @@ def test_aggregates_of_all_detections(spark, name, clause):
 @pytest.mark.parametrize("name, clause", [("cannot_link", " where a.frame_id % 5 = 0"), ("co_occurrence", " and frame_id % 3 = 0")])
 def test_pairs_of_all_frames(spark, name, clause):
     assert assert_whole(spark, clustering, name, clause)
+
+
+@pytest.mark.parametrize("plans, name", [(joins, "track_continuity"), (evaluation, "continuity_recall")])
+def test_continuity_of_all_detections(spark, tmp_path, plans, name):
+    rng = random.Random(4)
+    det = [(frame, part) for part in range(1, 61) for start in [rng.randint(1, 900)] for frame in {start + rng.randint(0, 40) for _ in range(5)}]
+    n = len(det)
+    lineitem = dict(l_orderkey=[f for f, _ in det], l_linenumber=[1 + i % 7 for i in range(n)], l_partkey=[p for _, p in det], l_suppkey=[1 + p % 2 for _, p in det])
+    lineitem |= dict(l_quantity=[float(rng.randint(30, 50)) for _ in det], l_extendedprice=[30000.0] * n, l_discount=[0.05] * n, l_tax=[0.02] * n, l_returnflag=["R"] * n)
+    folder = tmp_path / "tracks"
+    folder.mkdir()
+    write(folder, lineitem=lineitem, part=dict(p_partkey=list(range(1, 61)), p_size=[10] * 60))
+    assert assert_whole(spark, plans, name, " where frame_id % 4 = 0", folder)
+    if name == "continuity_recall":
+        assert plans.QUERIES[name](spark, str(folder)).first().n_pairs > 50
