@@ -97,7 +97,7 @@ _TIMELINE = "tl as (select video_id, timestamp_sec t, frame_id k, event_descript
 def event_as_of(spark: SparkSession, d: str) -> DataFrame:
     """The latest event at or before each frame's time; the last one of equal times; empty before the first."""
     f = frames(spark, d, "video_id", "timestamp_sec", "event_description").where("timestamp_sec is not null")
-    events = f.where("event_description is not null and frame_id % 7 = 0").select("video_id", "timestamp_sec", F.col("frame_id").alias("k"), F.col("event_description").alias("event"))
+    events = f.where("event_description is not null").select("video_id", "timestamp_sec", F.col("frame_id").alias("k"), F.col("event_description").alias("event"))
     out = as_of(f.select("frame_id", "video_id", "timestamp_sec"), events, by="video_id", time="timestamp_sec", tie="k", value="event", bucket=600.0)
     return out.select("frame_id", F.coalesce("event", F.lit("")).alias("event"))
 
@@ -105,7 +105,7 @@ def event_as_of(spark: SparkSession, d: str) -> DataFrame:
 @register(with_sql(FRAMES, _SCENES, _TIMELINE) + "select k as event_frame, (select max(scene_index) from (select scene_index, start_sec, rank() over (order by start_sec desc, scene_index desc) r from scenes s where s.video_id = tl.video_id and start_sec <= t + 1.05) where r = 1) as scene from tl")
 def scene_as_of(spark: SparkSession, d: str) -> DataFrame:
     """The last scene that starts no later than 1.05 s after an event."""
-    events = frames(spark, d, "video_id", "timestamp_sec", "event_description").where("event_description is not null and frame_id % 7 = 0 and timestamp_sec is not null")
+    events = frames(spark, d, "video_id", "timestamp_sec", "event_description").where("event_description is not null and timestamp_sec is not null")
     events = events.select(F.col("frame_id").alias("event_frame"), "video_id", (F.col("timestamp_sec") + 1.05).alias("t"))
     s = scenes(spark, d).select("video_id", F.col("start_sec").alias("t"), F.col("scene_index").alias("k"), F.col("scene_index").alias("scene"))
     return as_of(events, s, by="video_id", time="t", tie="k", value="scene", bucket=600.0).select("event_frame", "scene")
@@ -114,7 +114,7 @@ def scene_as_of(spark: SparkSession, d: str) -> DataFrame:
 @register(with_sql(FRAMES, _SCENES, _TIMELINE) + "select round(avg(case when exists (select 1 from scenes s where s.video_id = tl.video_id and t between start_sec - 1.05 and end_sec + 1.05) then 1.0 else 0.0 end), 6) as in_scene from tl")
 def timeline_in_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Share of events that lie within some scene, give or take 1.05 s."""
-    events = frames(spark, d, "video_id", "timestamp_sec", "event_description").where("event_description is not null and frame_id % 7 = 0 and timestamp_sec is not null").select("frame_id", "video_id", "timestamp_sec")
+    events = frames(spark, d, "video_id", "timestamp_sec", "event_description").where("event_description is not null and timestamp_sec is not null").select("frame_id", "video_id", "timestamp_sec")
     s = scenes(spark, d).select("video_id", (F.col("start_sec") - 1.05).alias("a"), (F.col("end_sec") + 1.05).alias("b"))
     inside = range_join(events, s, by="video_id", point="timestamp_sec", start="a", end="b", width=60, closed=True).select("frame_id").distinct().withColumn("hit", F.lit(1.0))
     return events.join(inside, "frame_id", "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("in_scene"))
@@ -123,7 +123,7 @@ def timeline_in_scenes(spark: SparkSession, d: str) -> DataFrame:
 @register(with_sql(FRAMES, _SCENES, _TIMELINE) + "select video_id, scene_index, exists (select 1 from tl where tl.video_id = s.video_id and abs(t - start_sec) <= 2) as covered from scenes s")
 def scene_start_covered(spark: SparkSession, d: str) -> DataFrame:
     """Whether an event lies within 2 s of a scene's start."""
-    events = frames(spark, d, "video_id", "timestamp_sec", "event_description").where("event_description is not null and frame_id % 7 = 0 and timestamp_sec is not null").select("video_id", "timestamp_sec")
+    events = frames(spark, d, "video_id", "timestamp_sec", "event_description").where("event_description is not null and timestamp_sec is not null").select("video_id", "timestamp_sec")
     s = scenes(spark, d).select("video_id", "scene_index", "start_sec")
     near = within(s, events, by="video_id", left="start_sec", right="timestamp_sec", distance=2.0).select("video_id", "scene_index").distinct().withColumn("hit", F.lit(True))
     return s.join(near, ["video_id", "scene_index"], "left").select("video_id", "scene_index", F.coalesce("hit", F.lit(False)).alias("covered"))

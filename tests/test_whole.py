@@ -50,3 +50,15 @@ def test_continuity_of_all_detections(spark, tmp_path, plans, name):
     assert assert_whole(spark, plans, name, " where frame_id % 4 = 0", folder)
     if name == "continuity_recall":
         assert plans.QUERIES[name](spark, str(folder)).first().n_pairs > 50
+
+
+@tables
+@pytest.mark.parametrize("name", ["event_as_of", "scene_as_of", "scene_start_covered", "timeline_in_scenes"])
+def test_all_events(spark, name):
+    assert assert_whole(spark, joins, name, " and frame_id % 7 = 0")
+
+
+def test_share_of_all_events(spark, tmp_path):
+    f = dict(frame_id=[1, 2, 7, 8], video_id=["v"] * 4, timestamp_sec=[1.0, 2.0, 7.0, 20.0], event_description=["a", None, "b", "c"], scene_index=[0, 0, 0, None])
+    d = write(tmp_path, frame_metadata=f)
+    assert joins.timeline_in_scenes(spark, d).first().in_scene == 0.666667
