@@ -58,7 +58,7 @@ def prompt_strategies(spark: SparkSession, d: str) -> DataFrame:
 @register("select distinct request_id, trim(regexp_replace('<thinking>' || request_id || '</thinking> ' || response, '^.*</thinking>', '', 's'), e' \\t\\n\\r\\x0b\\x0c') as reply from llm_cache where regexp_matches(response, '^[ -~]+$')")
 def strip_reasoning(spark: SparkSession, d: str) -> DataFrame:
     """Replies without the reasoning before them."""
-    r = table(spark, d, "llm_cache").where(F.col("response").rlike("^[ -~]+$")).select("request_id", "response").distinct()
+    r = table(spark, d, "llm_cache").where("response is not null").select("request_id", "response").distinct()
     return r.select("request_id", T.without_reasoning(F.concat(F.lit("<thinking>"), F.col("request_id").cast("string"), F.lit("</thinking> "), F.col("response"))).alias("reply"))
 
 
@@ -131,7 +131,7 @@ _TK = lambda c: f"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a
 @register(with_sql(FRAMES) + f"select frame_id, case when len({_TK('caption')}) > 0 and len({_TK('ocr_text')}) > 0 and len(list_intersect({_TK('caption')}, {_TK('ocr_text')})) / len(list_distinct({_TK('caption')} || {_TK('ocr_text')})) >= 0.25 then 'a title card that reads: ' || ocr_text else caption end as caption from frames where regexp_matches(coalesce(caption, '') || coalesce(ocr_text, ''), '^[ -~]*$')")
 def fix_echoes(spark: SparkSession, d: str) -> DataFrame:
     """Captions that echo the text on the picture are replaced by naming that text."""
-    f = frames(spark, d, "caption", "ocr_text").where(F.concat(X.filled("caption"), X.filled("ocr_text")).rlike("^[ -~]*$"))
+    f = frames(spark, d, "caption", "ocr_text")
     return f.select("frame_id", F.when(X.caption_echoes_text("caption", "ocr_text", 0.25), F.concat(F.lit("a title card that reads: "), F.col("ocr_text"))).otherwise(F.col("caption")).alias("caption"))
 
 

@@ -51,8 +51,8 @@ _KEPT = _WORDS + ",\nk as (select doc_id, pos, w, 50 + (doc_id * 31 + pos * 17)
 
 
 def _ocr_words(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, pos, w, conf): words of ASCII sign texts with a confidence derived from their place."""
-    docs = table(spark, d, "documents").where("source = 'ocr' and text is not null").where(F.col("text").rlike(r"^[ -~\n\r]*$") & (X.stripped("text") != ""))
+    """(doc_id, pos, w, conf): words of sign texts with a confidence derived from their place."""
+    docs = table(spark, d, "documents").where("source = 'ocr' and text is not null").where(X.stripped("text") != "")
     words = docs.select("doc_id", F.posexplode(F.split(X.stripped("text"), r"\s+")).alias("pos", "w")).withColumn("pos", F.col("pos") + 1)
     return words.withColumn("conf", 50 + (F.col("doc_id") * 31 + F.col("pos") * 17) % 50)
 
@@ -108,8 +108,8 @@ s as (select t, string_split_regex(t, '\s+') ws, length(regexp_replace(t, '[^A-Z
 from s"""
 )
 def signage(spark: SparkSession, d: str) -> DataFrame:
-    """Which ASCII sign texts read like signage."""
-    texts = frames(spark, d, "ocr_text").where(F.col("ocr_text").rlike(r"^[ -~]*$")).select(X.stripped("ocr_text").alias("text")).distinct()
+    """Which sign texts read like signage."""
+    texts = frames(spark, d, "ocr_text").where("ocr_text is not null").select(X.stripped("ocr_text").alias("text")).distinct()
     return texts.select("text", X.is_signage("text").alias("is_signage"))
 
 

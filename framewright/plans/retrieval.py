@@ -66,7 +66,7 @@ _SNIP = "m as (select frame_id, caption c, instr(lower(caption), 'platform') - 1
 @register(with_sql(FRAMES, _SNIP) + "select frame_id, (case when a > 0 then '…' else '' end) || trim(substring(c, cast(a + 1 as bigint), cast(z - a as bigint))) || (case when z < length(c) then '…' else '' end) as snippet from b")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     """The window around the first hit."""
-    f = frames(spark, d, "caption").where("contains(lower(coalesce(caption, '')), 'platform')").where(F.col("caption").rlike("^[ -~]*$"))
+    f = frames(spark, d, "caption").where("contains(lower(coalesce(caption, '')), 'platform')")
     return f.select("frame_id", X.snippet("caption", "platform").alias("snippet"))
 
 

@@ -62,3 +62,30 @@ def test_share_of_all_events(spark, tmp_path):
     f = dict(frame_id=[1, 2, 7, 8], video_id=["v"] * 4, timestamp_sec=[1.0, 2.0, 7.0, 20.0], event_description=["a", None, "b", "c"], scene_index=[0, 0, 0, None])
     d = write(tmp_path, frame_metadata=f)
     assert joins.timeline_in_scenes(spark, d).first().in_scene == 0.666667
+
+
+def test_texts_beyond_plain_ascii(spark, tmp_path):
+    d = write(
+        tmp_path,
+        llm_cache=dict(request_id=[1, 2, 3, 4], response=["Première ligne.\n\nZweite Zeile – Ende.\n", "<thinking>é\n</thinking>\n\nÜber", "plain", None]),
+        frame_metadata=dict(
+            frame_id=[1, 2, 3, 4],
+            caption=["café sortie ligne", "eine Straße", "le métro\narrive au platform 9 – après", None],
+            ocr_text=["SORTIE LIGNE\nCAFÉ", None, "Über Straße", "ÎLES"],
+        ),
+        documents=dict(doc_id=[1, 2], source=["ocr", "ocr"], text=["Métro  Liné\nGare", " \n"]),
+    )
+    got = lambda df: {tuple(r) for r in df.collect()}
+    assert got(narration.strip_reasoning(spark, d)) == {(1, "Première ligne.\n\nZweite Zeile – Ende."), (2, "Über"), (3, "plain")}
+    assert got(narration.fix_echoes(spark, d)) == {(1, "a title card that reads: SORTIE LIGNE\nCAFÉ"), (2, "eine Straße"), (3, "le métro\narrive au platform 9 – après"), (4, None)}
+    assert got(predicates.signage(spark, d)) == {("SORTIE LIGNE\nCAFÉ", True), ("Über Straße", False), ("ÎLES", True)}
+    assert got(predicates.token_gate(spark, d)) == {(1, 1, "Métro"), (1, 2, "Liné"), (1, 3, "Gare")}
+    assert got(predicates.filter_tokens(spark, d)) == {(1, "Métro Liné Gare", 3, 81.7)}
+    assert got(retrieval.snippets(spark, d)) == {(3, "le métro\narrive au platform 9 – après")}
+
+
+def test_lexicon_of_all_texts(spark, tmp_path):
+    words = [a + b for a in ("garden", "mirror", "bottle", "window", "dragon", "summit") for b in "abcdefghij"]  # the lexicon holds 60
+    text = ["é " + " ".join(f"{w} {w}" for w in [*words[:59], "platform"]) + " platfrom"]
+    d = write(tmp_path, documents=dict(doc_id=[1], source=["ocr"], text=text))
+    assert [tuple(r) for r in predicates.lexicon_snap(spark, d).collect()] == [("platfrom", "platform")]
