@@ -106,7 +106,7 @@ def chronology(spark: SparkSession, d: str) -> DataFrame:
 @register("select doc_id, case when len(w) < 3 then 0 else round(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) / (len(w) - 2), 6) end as distinct_3 from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') w from documents where n_chars < 5000)")
 def distinct_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Share of distinct three-word windows."""
-    w = table(spark, d, "documents").where("n_chars < 5000").select("doc_id", X.word_list("text").alias("w"))
+    w = table(spark, d, "documents").select("doc_id", X.word_list("text").alias("w"))
     grams = F.expr("transform(sequence(0, size(w) - 3), i -> concat_ws(' ', slice(w, i + 1, 3)))")
     return w.select("doc_id", F.when(F.size("w") < 3, F.lit(0.0)).otherwise(F.round(F.size(F.array_distinct(grams)) / (F.size("w") - 2), 6)).alias("distinct_3"))
 

@@ -89,3 +89,8 @@ def test_lexicon_of_all_texts(spark, tmp_path):
     text = ["é " + " ".join(f"{w} {w}" for w in [*words[:59], "platform"]) + " platfrom"]
     d = write(tmp_path, documents=dict(doc_id=[1], source=["ocr"], text=text))
     assert [tuple(r) for r in predicates.lexicon_snap(spark, d).collect()] == [("platfrom", "platform")]
+
+
+def test_windows_of_long_texts(spark, tmp_path):
+    d = write(tmp_path, documents=dict(doc_id=[1, 2, 3], text=["a b c " * 6000, "a b c d", "a"], n_chars=[36000, 7, 1]))
+    assert {tuple(r) for r in windows.distinct_ngrams(spark, d).collect()} == {(1, round(3 / 17998, 6)), (2, 1.0), (3, 0.0)}
