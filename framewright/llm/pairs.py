@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -220,6 +222,11 @@ def asked_language(prompt: str) -> str | None:
     return m.lastgroup if m else None
 
 
+@lru_cache(maxsize=None)
+def _is_latin(ch: str) -> bool:
+    return unicodedata.name(ch, "").startswith("LATIN")
+
+
 def language_scores(text: str) -> tuple[dict[str, float], int, float]:
     """Function words per language, each twice at most (one shared by n languages counts 1/n in each), words, share of letters beyond Latin script."""
     scores: dict[str, float] = {}
@@ -236,8 +243,8 @@ def language_scores(text: str) -> tuple[dict[str, float], int, float]:
             found = _WORD_LANGUAGES.get(part, ())
             for language in found:
                 scores[language] = scores.get(language, 0.0) + 1.0 / len(found)
-    letters = [ch for w in words for ch in w[:12]]
-    far = sum(not unicodedata.name(ch, "").startswith("LATIN") for ch in letters[:4000]) / max(1, len(letters[:4000]))
+    letters = Counter("".join(words))
+    far = sum(n for ch, n in letters.items() if not _is_latin(ch)) / max(1, letters.total())
     return scores, len(words), far
 
 
