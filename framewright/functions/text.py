@@ -144,9 +144,14 @@ def first_json_array(text: str | None) -> str | None:
     """Python: the first top-level JSON array of a chatty text, in compact form; None where there is none that parses."""
     if not text:
         return None
-    depth, start = 0, -1
+    depth, start, quoted, escaped = 0, -1, False, False
     for i, ch in enumerate(text):
-        if ch == "[":
+        # Brackets within the strings of an array don't count; quotation marks outside arrays are prose.
+        if quoted:
+            quoted, escaped = escaped or ch != '"', ch == "\\" and not escaped
+        elif ch == '"' and depth:
+            quoted = True
+        elif ch == "[":
             start = i if depth == 0 else start
             depth += 1
         elif ch == "]" and depth:

@@ -87,7 +87,7 @@ def track_rollup(spark: SparkSession, d: str) -> DataFrame:
     return detections(spark, d).groupBy("track_id").agg(F.count("*").alias("n_faces"), F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"), (F.max("timestamp_sec") - F.min("timestamp_sec") + 1.0).alias("duration_sec"))
 
 
-@register(with_sql(DETECTIONS, TRACKS) + "select face_id, count(*) as n from det join trk using (track_id) where frame_id % 50 = 0 group by 1 having count(*) >= 2 or count_if(quality_ok = 1) >= 1 or count_if(det_score >= 0.55) >= 1")
+@register(with_sql(DETECTIONS, TRACKS) + "select face_id, count(*) as n from det join trk using (track_id) group by 1 having count(*) >= 2 or count_if(quality_ok = 1) >= 1 or count_if(det_score >= 0.55) >= 1")
 def corroborated_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters that two detections or one good one vouch for."""
     j = detections(spark, d).join(tracks(spark, d).select("track_id", "face_id"), "track_id")
@@ -116,7 +116,7 @@ def track_templates(spark: SparkSession, d: str) -> DataFrame:
     return robust_template(e, "label", "vec_id", "embedding", "w", min_cosine=0.15).select("label", F.transform("mean", lambda x: F.round(x, 5)).alias("template"))
 
 
-@register(with_sql(DETECTIONS) + "select crop_id, track_id from (select *, max(quality_ok) over (partition by track_id) best from det where frame_id % 10 = 0) where quality_ok = best")
+@register(with_sql(DETECTIONS) + "select crop_id, track_id from (select *, max(quality_ok) over (partition by track_id) best from det) where quality_ok = best")
 def prefer_quality(spark: SparkSession, d: str) -> DataFrame:
     """The good detections of each track, or all where none is good."""
     det = detections(spark, d)

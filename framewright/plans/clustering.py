@@ -19,7 +19,7 @@ QUERIES, SQL = register.queries, register.sql
 LINK_LIMIT = 0.72
 
 
-@register(with_sql(DETECTIONS) + "select distinct a.track_id as a, b.track_id as b from det a join det b on a.frame_id = b.frame_id and a.track_id < b.track_id where a.frame_id % 5 = 0")
+@register(with_sql(DETECTIONS) + "select distinct a.track_id as a, b.track_id as b from det a join det b on a.frame_id = b.frame_id and a.track_id < b.track_id")
 def cannot_link(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of tracks that share a frame."""
     det = detections(spark, d).select("frame_id", "track_id").distinct()
@@ -108,7 +108,7 @@ def apply_merges(spark: SparkSession, d: str) -> DataFrame:
     return t.join(comp, "k", "left").select("track_id", F.coalesce("component", "k").alias("merged"))
 
 
-@register(with_sql(DETECTIONS, TRACKS, "j as (select distinct frame_id, face_id from det join trk using (track_id) where face_id <> 'unknown' and frame_id % 3 = 0)") + "select a.face_id as face_a, b.face_id as face_b, count(*) as n_frames from j a join j b on a.frame_id = b.frame_id and a.face_id < b.face_id group by 1, 2")
+@register(with_sql(DETECTIONS, TRACKS, "j as (select distinct frame_id, face_id from det join trk using (track_id) where face_id <> 'unknown')") + "select a.face_id as face_a, b.face_id as face_b, count(*) as n_frames from j a join j b on a.frame_id = b.frame_id and a.face_id < b.face_id group by 1, 2")
 def co_occurrence(spark: SparkSession, d: str) -> DataFrame:
     """In how many frames two identities appear together."""
     j = detections(spark, d).select("frame_id", "track_id").join(tracks(spark, d).where("face_id <> 'unknown'").select("track_id", "face_id"), "track_id").select("frame_id", "face_id").distinct()

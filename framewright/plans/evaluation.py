@@ -93,7 +93,7 @@ def silhouette(spark: SparkSession, d: str) -> DataFrame:
     return w.agg(F.round(F.avg(F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))), 5).alias("silhouette"))
 
 
-@register(with_sql(DETECTIONS, TRACKS, "e as (select track_id, min(frame_id) f0, max(frame_id) f1 from det where frame_id % 4 = 0 group by 1)")
+@register(with_sql(DETECTIONS, TRACKS, "e as (select track_id, min(frame_id) f0, max(frame_id) f1 from det group by 1)")
     + "select count(*) as n_pairs, round(coalesce(avg(cast(x.face_id = y.face_id and x.face_id <> 'unknown' as int)), 1.0), 6) as recall from e a join e b on b.f0 - a.f1 between 1 and 60 and a.track_id <> b.track_id join trk x on x.track_id = a.track_id join trk y on y.track_id = b.track_id")
 def continuity_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of tracks that follow each other within 60 frames and bear the same known identity."""

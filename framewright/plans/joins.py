@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
 from framewright.operators.joins import as_of, range_join, within
+from framewright.operators.search import rank_by_vector
 from framewright.operators.vectors import top_neighbors
 from framewright.plans.base import DETECTIONS, FRAMES, IDENTITIES, TRACKS, Registry, detections, frames, identities, tracks, with_sql
 from framewright.sources.tables import table
@@ -53,11 +54,19 @@ def lookup_default(spark: SparkSession, d: str) -> DataFrame:
     return i.join(f, "frame_id", "left").select("frame_id", F.coalesce("caption", F.lit("(none)")).alias("caption"))
 
 
-@register(with_sql(FRAMES, "top as (select distinct frame_ids from image_index where frame_ids is not null order by frame_ids limit 200)") + "select frame_ids as frame_id, filename from top join frames on frame_ids = frame_id where frame_id % 5 <> 0")
+_INDEX = """i as (select frame_ids, max(embeddings) e from image_index where frame_ids is not null and len(embeddings) = 64 and not list_bool_or(list_transform(embeddings, lambda x: isnan(x))) group by 1),
+q as (select e from i where e[1] <> 0 order by frame_ids limit 1),
+top as (select frame_ids, row_number() over (order by round(list_dot_product(cast(i.e as double[]), cast(q.e as double[])), 5) desc, frame_ids) r from i, q)"""
+
+
+@register(with_sql(FRAMES, _INDEX) + "select r as rank, frame_ids as frame_id, filename from top join frames on frame_ids = frame_id where r <= 200 and frame_id % 5 <> 0")
 def index_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """A top list joined with its metadata afterwards; rows without metadata drop out of the list."""
-    top = table(spark, d, "image_index").where("frame_ids is not null").select(F.col("frame_ids").alias("frame_id")).distinct().orderBy("frame_id").limit(200)
-    return top.join(frames(spark, d, "filename").where("frame_id % 5 <> 0"), "frame_id").select("frame_id", "filename")
+    """The 200 index rows most similar to the first one, joined with their metadata afterwards; those without metadata drop out of the list."""
+    i = table(spark, d, "image_index").where("frame_ids is not null and size(embeddings) = 64 and not exists(embeddings, x -> x is null or isnan(x))")
+    i = i.groupBy(F.col("frame_ids").alias("frame_id")).agg(F.max("embeddings").alias("e"))
+    first = i.where("e[0] <> 0").orderBy("frame_id").first()
+    top = rank_by_vector(i, "frame_id", "e", first[1] if first else [], 200, -2.0, digits=5)
+    return top.join(frames(spark, d, "filename").where("frame_id % 5 <> 0"), "frame_id").select("rank", "frame_id", "filename")
 
 
 @register(with_sql(FRAMES) + "select count(*) as n_index, count(f.frame_id) as n_found, count(*) = count(f.frame_id) as complete from (select distinct frame_ids from image_index where frame_ids is not null) left join frames f on frame_ids = f.frame_id")
@@ -89,7 +98,7 @@ def segments_of_frame(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("frame_id").agg(text.alias("speech"))
 
 
-_TIMELINE = "tl as (select video_id, timestamp_sec t, frame_id k, event_description descr from frames where event_description is not null and frame_id % 7 = 0 and timestamp_sec is not null)"
+_TIMELINE = "tl as (select video_id, timestamp_sec t, frame_id k, event_description descr from frames where event_description is not null and timestamp_sec is not null)"
 
 
 @register(with_sql(FRAMES, _TIMELINE) + """select frame_id, coalesce(descr, '') as event from (
@@ -136,7 +145,7 @@ def same_frame_pairs(spark: SparkSession, d: str) -> DataFrame:
     return det.select("frame_id", F.col("crop_id").alias("crop_a")).join(det.select("frame_id", F.col("crop_id").alias("crop_b")), "frame_id").where("crop_a < crop_b")
 
 
-_ENDS = """e as (select track_id, min(frame_id) f0, max(frame_id) f1, arg_min((x1, y1, x2, y2), (frame_id, crop_id)) b0, arg_max((x1, y1, x2, y2), (frame_id, crop_id)) b1 from det where frame_id % 4 = 0 group by 1),
+_ENDS = """e as (select track_id, min(frame_id) f0, max(frame_id) f1, arg_min((x1, y1, x2, y2), (frame_id, crop_id)) b0, arg_max((x1, y1, x2, y2), (frame_id, crop_id)) b1 from det group by 1),
 b as (select track_id, f0, f1, b0[1] p1, b0[2] q1, b0[3] p2, b0[4] q2, b1[1] x1, b1[2] y1, b1[3] x2, b1[4] y2 from e)"""
 _IOU = "greatest(0.0, least(a.x2, c.p2) - greatest(a.x1, c.p1)) * greatest(0.0, least(a.y2, c.q2) - greatest(a.y1, c.q1))"
 

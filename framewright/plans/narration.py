@@ -55,7 +55,7 @@ def prompt_strategies(spark: SparkSession, d: str) -> DataFrame:
     return q.withColumn("strategy", s).select("request_id", "strategy", F.format_string("%s: tell what happens in %s.", "strategy", "video_id").alias("prompt"))
 
 
-@register("select distinct request_id, trim(regexp_replace('<thinking>' || request_id || '</thinking> ' || response, '^.*</thinking>', '', 's'), e' \\t\\n\\r\\x0b\\x0c') as reply from llm_cache where regexp_matches(response, '^[ -~]+$')")
+@register("select distinct request_id, trim(regexp_replace('<thinking>' || request_id || '</thinking> ' || response, '^.*</thinking>', '', 's'), e' \\t\\n\\r\\x0b\\x0c') as reply from llm_cache where response is not null")
 def strip_reasoning(spark: SparkSession, d: str) -> DataFrame:
     """Replies without the reasoning before them."""
     r = table(spark, d, "llm_cache").where("response is not null").select("request_id", "response").distinct()
@@ -128,7 +128,7 @@ def request_batches(spark: SparkSession, d: str) -> DataFrame:
 _TK = lambda c: f"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'))"
 
 
-@register(with_sql(FRAMES) + f"select frame_id, case when len({_TK('caption')}) > 0 and len({_TK('ocr_text')}) > 0 and len(list_intersect({_TK('caption')}, {_TK('ocr_text')})) / len(list_distinct({_TK('caption')} || {_TK('ocr_text')})) >= 0.25 then 'a title card that reads: ' || ocr_text else caption end as caption from frames where regexp_matches(coalesce(caption, '') || coalesce(ocr_text, ''), '^[ -~]*$')")
+@register(with_sql(FRAMES) + f"select frame_id, case when len({_TK('caption')}) > 0 and len({_TK('ocr_text')}) > 0 and len(list_intersect({_TK('caption')}, {_TK('ocr_text')})) / len(list_distinct({_TK('caption')} || {_TK('ocr_text')})) >= 0.25 then 'a title card that reads: ' || ocr_text else caption end as caption from frames")
 def fix_echoes(spark: SparkSession, d: str) -> DataFrame:
     """Captions that echo the text on the picture are replaced by naming that text."""
     f = frames(spark, d, "caption", "ocr_text")

@@ -46,7 +46,7 @@ def known_identity_filter(spark: SparkSession, d: str) -> DataFrame:
     return identities(spark, d).where("face_id is not null and face_id <> 'unknown'").select("track_id", "face_id")
 
 
-_WORDS = "w as (select doc_id, unnest(string_split_regex(trim(text, e' \\t\\n\\r'), '\\s+')) w, unnest(range(1, 1 + len(string_split_regex(trim(text, e' \\t\\n\\r'), '\\s+')))) pos from documents where source = 'ocr' and text is not null and regexp_matches(text, '^[ -~\\n\\r]*$') and trim(text, e' \\t\\n\\r') <> '')"
+_WORDS = "w as (select doc_id, unnest(string_split_regex(trim(text, e' \\t\\n\\r'), '\\s+')) w, unnest(range(1, 1 + len(string_split_regex(trim(text, e' \\t\\n\\r'), '\\s+')))) pos from documents where source = 'ocr' and text is not null and trim(text, e' \\t\\n\\r') <> '')"
 _KEPT = _WORDS + ",\nk as (select doc_id, pos, w, 50 + (doc_id * 31 + pos * 17) % 50 conf from w)"
 
 
@@ -96,7 +96,7 @@ def chapter_label(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d, "video_id", "story_segment").groupBy("video_id").agg(F.coalesce(F.min_by(F.when(named, F.col("story_segment")), F.when(named, F.col("frame_id"))), F.lit("Introduction")).alias("label"))
 
 
-_SIGN = r"""w as (select distinct trim(ocr_text, e' \t\n\r') t from frames where ocr_text is not null and regexp_matches(ocr_text, '^[ -~]*$')),
+_SIGN = r"""w as (select distinct trim(ocr_text, e' \t\n\r') t from frames where ocr_text is not null),
 s as (select t, string_split_regex(t, '\s+') ws, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) capitals from w)"""
 
 

@@ -60,7 +60,7 @@ def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
     return search_rows(frames(spark, d, "timestamp_sec", "ocr_text"), "emergency", fuzzy=True).select("frame_id", "score", "snippet")
 
 
-_SNIP = "m as (select frame_id, caption c, instr(lower(caption), 'platform') - 1 p0 from frames where contains(lower(coalesce(caption, '')), 'platform') and regexp_matches(caption, '^[ -~]*$')), b as (select *, greatest(0, p0 - 20) a, least(length(c), p0 + 38) z from m)"
+_SNIP = "m as (select frame_id, caption c, instr(lower(caption), 'platform') - 1 p0 from frames where contains(lower(coalesce(caption, '')), 'platform')), b as (select *, greatest(0, p0 - 20) a, least(length(c), p0 + 38) z from m)"
 
 
 @register(with_sql(FRAMES, _SNIP) + "select frame_id, (case when a > 0 then '…' else '' end) || trim(substring(c, cast(a + 1 as bigint), cast(z - a as bigint))) || (case when z < length(c) then '…' else '' end) as snippet from b")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +21,11 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 def _finish(out: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     """Run a stream to the end of its input and read what it wrote."""
     path = local_path(spark, "stream")
-    name = f"t_{uuid.uuid4().hex[:8]}"
     if mode == "complete":
-        q = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.table(name)
+        # The whole result of each batch replaces the table; it never stands in the driver.
+        keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/d")
+        out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{path}/d")
     q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/d").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/d")
@@ -57,5 +55,5 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user, merged batch by batch."""
     path = local_path(spark, "upsert")
-    E.upsert_into(_stream(spark, d).select("user_id", "ts", "event_id"), path, ["user_id"], "ts", f"{path}/c").awaitTermination()
-    return spark.read.parquet(f"{path}/v0").select("user_id", "event_id")
+    E.upsert_into(_stream(spark, d).select("user_id", "ts", "event_id"), f"{path}/t", ["user_id"], "ts", f"{path}/c").awaitTermination()
+    return E.read_upserted(spark, f"{path}/t").select("user_id", "event_id")

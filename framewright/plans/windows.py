@@ -103,7 +103,7 @@ def chronology(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", F.coalesce(F.round(N.ratio(rising, F.expr("greatest(0, size(s) - 1)")), 6), F.lit(1.0)).alias("chronology"))
 
 
-@register("select doc_id, case when len(w) < 3 then 0 else round(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) / (len(w) - 2), 6) end as distinct_3 from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') w from documents where n_chars < 5000)")
+@register("select doc_id, case when len(w) < 3 then 0 else round(len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) / (len(w) - 2), 6) end as distinct_3 from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') w from documents)")
 def distinct_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Share of distinct three-word windows."""
     w = table(spark, d, "documents").select("doc_id", X.word_list("text").alias("w"))

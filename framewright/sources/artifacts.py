@@ -6,6 +6,7 @@ import logging
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -68,19 +69,36 @@ def sample_stride(df: DataFrame, number: str, source_fps: float, target_fps: flo
 
 
 def write_atomic(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write beside the target and swap, so that readers see the old table or the new one, and a failed write leaves the old."""
+    """Write beside the target and swap; whatever fails, the old table or the new one stands at the path when this returns or raises.
+
+    A file system that renames folders one by one has a moment without the table between the two renames. If the second one fails, the old
+    table is put back; nothing is deleted before the new one stands.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target, new, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
         df.write.format(kind).save(str(new.toString()))
-        if fs.exists(target):
-            fs.rename(target, old)
-        fs.rename(new, target)
+        moved = fs.exists(target)
+        if moved and not fs.rename(target, old):
+            raise OSError(f"{path}: the old table can't be moved away; it is unchanged")
+        if not _renamed(fs, new, target):
+            if moved and not fs.rename(old, target):
+                raise OSError(f"{path}: the new table can't be moved in, and the old one stays at {old.toString()}")
+            raise OSError(f"{path}: the new table can't be moved in; the old one is unchanged")
     finally:
         fs.delete(new, True)
-    fs.delete(old, True)
+    if moved:
+        fs.delete(old, True)
+
+
+def _renamed(fs, source, target) -> bool:
+    """Whether a rename took place; some file systems raise where others return false."""
+    try:
+        return bool(fs.rename(source, target))
+    except Py4JJavaError:
+        return False
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:

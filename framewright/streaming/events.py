@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,19 +28,42 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str, late: str = "1 h
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of an upserted table, oldest first; a version counts once its success mark is written."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(n for n in names if re.fullmatch(r"v\d{12}", n) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of an upserted table."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path}: no version of the table yet")
+    return spark.read.parquet(f"{path}/{found[-1]}")
+
+
 def upsert_into(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keyed last-value merge of a stream into a table by batches; each batch writes a new version that is then pointed to.
+    """Keyed last-value merge of a stream into a table by batches; each batch merges into the newest complete version and writes the next.
 
-    A batch that is repeated after a failure gives the same table, since the newest row of a key wins whatever the number
-    of merges.
+    The versions in the folder say which is current, so a restarted stream goes on from the table it left. A batch that is repeated
+    after a failure gives the same table, since the newest row of a key wins whatever the number of merges. The version before the
+    current one stays for its readers, older ones are deleted.
     """
     spark = stream.sparkSession
-    current: dict[str, str] = {}
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(current["path"]) if current else batch.limit(0)
-        target = f"{path}/v{number % 2}"
-        upsert(old, batch, key, order).write.mode("overwrite").parquet(target)
-        current["path"] = target
+        found = versions(spark, path)
+        old = spark.read.parquet(f"{path}/{found[-1]}") if found else batch.limit(0)
+        following = int(found[-1][1:]) + 1 if found else 0
+        upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{following:012d}")
+        jvm = spark.sparkContext._jvm
+        for name in found[:-1]:
+            gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
