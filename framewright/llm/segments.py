@@ -1,15 +1,20 @@
 """Runs of near-identical consecutive events, by optimal segmentation per entity.
 
 The events of an entity are ordered by time and cut into runs so that the dissimilarity of neighbours within runs, plus a
-penalty for each boundary, is least; forced boundaries cost nothing. A dynamic program over prefixes finds the optimum and
-drops prefixes that can never be a last boundary again.
-
-An entity is spread over time chunks: the program runs within a chunk, the neighbours across two chunks are compared from
-one row per chunk, and since the cost is a sum over neighbours, runs that go on over a chunk's end are joined by it.
+penalty for each boundary, is least, while no event of a run is farther than DRIFT from the run's first one; forced boundaries cost
+nothing. So a text that changes little from frame to frame until nothing of it is left is no single event: it is cut where the
+changes are largest. A dynamic program over prefixes finds the optimum. A start whose run has drifted too far, or that a forced
+boundary cuts off, can never be a last boundary again and is dropped; of the others the best is at hand, since the order of two
+starts doesn't change with the end.
+
+An entity is spread over time chunks: the program runs within a chunk, and runs that meet at a chunk's end are joined by
+the same program on the two events that meet there, from one row per chunk.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -19,12 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.session import cut
+
 #: Seconds per chunk of an entity.
 CHUNK_SEC = 600.0
 #: Cost of a boundary; a neighbour's dissimilarity is 1 where a quarter of the characters is misread.
 PENALTY = 1.0
 #: Share of characters that may be misread, and seconds between neighbours of a run.
 MISREAD, MAX_GAP_SEC = 0.25, 10.0
+#: Dissimilarity that an event may have from the first one of its run: two readings of one text are each within 1 of it.
+DRIFT = 2.0
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -53,59 +62,62 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 @lru_cache(maxsize=1 << 16)
-def text_dissimilarity(a: str, na: str, b: str, nb: str) -> float:
-    """0 for equal texts, 1 where MISREAD of the longer one is misread, infinite for another number or a text against none."""
+def text_dissimilarity(a: str, na: str, b: str, nb: str, most: float = 1.0) -> float:
+    """0 for equal texts, 1 where MISREAD of the longer one is misread, infinite beyond ``most``, for another number or a text against none."""
     if a == b and na == nb:
         return 0.0
     if na != nb or not a or not b:
         return float("inf")
     longest = max(len(a), len(b))
-    most = int(longest * MISREAD)
-    d = edit_distance(a, b, most)
-    return float("inf") if d > most else d / (longest * MISREAD)
+    edits = int(longest * MISREAD * most)
+    d = edit_distance(a, b, edits)
+    return float("inf") if d > edits else d / (longest * MISREAD)
 
 
-def segment(cost: np.ndarray, forced: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+def segment(cost: np.ndarray, forced: np.ndarray, penalty: float = PENALTY, fits: Callable[[int, int], bool] | None = None) -> np.ndarray:
     """Sorted first positions of the runs of n events; cost[i] and forced[i] concern the neighbours i - 1 and i.
 
-    Minimises the sum of ``cost`` within runs plus ``penalty`` per unforced boundary; equal totals prefer fewer boundaries.
+    Minimises the sum of ``cost`` within runs plus ``penalty`` per unforced boundary over all cuts into runs whose every event i
+    ``fits(start, i)``; equal totals prefer fewer boundaries. A boundary at an infinite cost counts as forced.
     """
     if not len(cost):
         return np.empty(0, int)
-    # A neighbour that costs nothing never opens a run in an optimum with the fewest boundaries.
+    # A neighbour that costs nothing is the same event, which never opens a run in an optimum with the fewest boundaries.
     may = np.flatnonzero(forced | (cost != 0))
     may = may if len(may) and may[0] == 0 else np.concatenate([[0], may])
-    return may[_segment(cost[may], forced[may], penalty)]
-
-
-def _segment(cost: np.ndarray, forced: np.ndarray, penalty: float) -> np.ndarray:
+    cost, forced = cost[may], forced[may]
     n = len(cost)
-    within = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(cost[1:]) & ~forced[1:], cost[1:], 0.0))])
-    wall = np.maximum.accumulate(np.where(forced | ~np.isfinite(cost), np.arange(n), 0))
-    best, back, open_ = np.zeros(n + 1), np.zeros(n + 1, int), [0]
-    for end in range(1, n + 1):
-        last = end - 1
-        value, at = np.inf, -1
-        kept = []
-        for s in open_:
-            if s < wall[last]:
-                continue
-            v = best[s] + within[last] - within[s]
-            kept.append(s)
-            if v < value - 1e-12:
-                value, at = v, s
-        best[end], back[end] = value, at
-        if end < n:
-            step = 0.0 if forced[end] or not np.isfinite(cost[end]) else penalty
-            # A start that already costs more than a new boundary here can never be the better last boundary.
-            open_ = [s for s in kept if best[s] + within[last] - within[s] <= value + step]
-            best[end] = value + step
-            open_.append(end)
+    wall = forced | ~np.isfinite(cost)
+    within = np.cumsum(np.where(wall, 0.0, cost))
+    within -= within[0]
+    # Per start its total before it less the cost up to it: what is added later is the same for all starts.
+    heap: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    checked = np.arange(n)
+    back, number = np.zeros(n + 1, int), np.zeros(n + 1, int)
+    first = 0
+    for last in range(n):
+        if wall[last] and last:
+            first = last
+        while True:
+            key, runs, start = heap[0]
+            if start >= first:
+                at = int(checked[start])
+                while at < last and (fits is None or fits(int(may[start]), int(may[at + 1]))):
+                    at += 1
+                checked[start] = at
+                if at == last:
+                    break
+            heapq.heappop(heap)
+        total = key + within[last]
+        back[last + 1], number[last + 1] = start, runs + 1
+        if last + 1 < n:
+            step = 0.0 if wall[last + 1] else penalty
+            heapq.heappush(heap, (round(total + step - within[last + 1], 9), runs + 1, last + 1))
     starts, e = [], n
     while e > 0:
         starts.append(back[e])
         e = back[e]
-    return np.array(starts[::-1])
+    return may[np.array(starts[::-1])]
 
 
 def _neighbour_costs(texts: list[tuple], gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +132,14 @@ def _neighbour_costs(texts: list[tuple], gap: np.ndarray) -> tuple[np.ndarray, n
     return cost, forced
 
 
+def _fits(texts: list[tuple]) -> Callable[[int, int], bool]:
+    def fits(start: int, i: int) -> bool:
+        p, q = texts[start], texts[i]
+        return text_dissimilarity(p[0], p[1], q[0], q[1], DRIFT) <= DRIFT and text_dissimilarity(p[2], p[3], q[2], q[3], DRIFT) <= DRIFT
+
+    return fits
+
+
 def _plain(column: str) -> F.Column:
     """Letters and digits of a text, lower-cased; null as empty."""
     return F.regexp_replace(F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", "")
@@ -133,7 +153,8 @@ def _numbers(column: str) -> F.Column:
 def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str, text_b: str) -> DataFrame:
     """One row per run: (entity, first_key, last_key, n_events BIGINT, from_sec, to_sec, duration_sec DOUBLE).
 
-    Order within an entity is by time, then key. Repeated keys of an entity at one time count once. Rows with a null entity, key or time,
+    Order within an entity is by time, then key. Repeats of a key at one time count once, with the least of their texts; a key at two
+    times is two events. Rows with a null entity, key or time,
     or a NaN time count for nothing; null texts are empty ones. An event with neither text is a run of its own with an
     empty first text and is left out, and so ends the run before it. An empty table gives no rows; other columns
     are not read.
@@ -148,13 +169,12 @@ def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str,
 
     def runs(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("t", "k", "a", "b")]))
-        seen: set = set()
-        first = [i for i, k in enumerate(rows["k"].to_pylist()) if not (k in seen or seen.add(k))]
-        if len(first) < rows.num_rows:
-            rows = rows.take(first)
+        if rows.num_rows > 1:
+            new = pc.or_(pc.not_equal(rows["k"][1:], rows["k"][:-1]), pc.not_equal(rows["t"][1:], rows["t"][:-1]))
+            rows = rows.filter(pa.chunked_array([pa.array([True]), *new.chunks]).combine_chunks())
         texts = list(zip(*(rows[c].to_pylist() for c in ("a", "na", "b", "nb"))))
         t = rows["t"].to_numpy()
-        start = segment(*_neighbour_costs(texts, np.diff(t, prepend=t[:1])))
+        start = segment(*_neighbour_costs(texts, np.diff(t, prepend=t[:1])), fits=_fits(texts))
         end = np.append(start[1:], len(t)) - 1
         n = len(start)
         same = lambda c: rows[c].take([0] * n)
@@ -167,7 +187,7 @@ def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str,
             }
         )
 
-    local = rows.groupBy("e", "chunk").applyInArrow(runs, out)
+    local = cut(rows.groupBy("e", "chunk").applyInArrow(runs, out))
     # One row per chunk decides whether its first run goes on from the chunk before; runs are joined by a running start.
     edge = local.groupBy("e", "chunk").agg(
         F.min_by(F.struct("head", "from_sec"), "run").alias("h"), F.max_by(F.struct("tail", "to_sec"), "run").alias("l"), F.first("runs").alias("runs")
@@ -189,11 +209,10 @@ def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str,
     edge = edge.withColumn("joined", same(F.col("h.head"), F.col("p.tail"), F.col("h.from_sec") - F.col("p.to_sec")))
     # The run open at a chunk's end began in this chunk unless the chunk is one run that goes on from before.
     edge = edge.withColumn("own", F.expr("if(runs > 1 or not joined, chunk, null)")).withColumn("begin", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    at = edge.select("e", "chunk", "joined", "begin")
-    named = local.join(at, ["e", "chunk"]).withColumn("home", F.expr("if(run = 0 and joined, begin, chunk)"))
+    at = edge.select("e", "chunk", "joined", "begin", F.coalesce(F.lead("joined").over(w), F.lit(False)).alias("goes_on"))
+    named = local.drop("head", "tail").join(at, ["e", "chunk"]).withColumn("home", F.expr("if(run = 0 and joined, begin, chunk)"))
     # Within its home chunk a run that goes on is the last one: all its parts are named by home chunk and -1.
-    goes_on = edge.select("e", "chunk", F.coalesce(F.lead("joined").over(w), F.lit(False)).alias("goes_on"))
-    named = named.join(goes_on, ["e", "chunk"]).withColumn("name", F.expr("if((run = runs - 1 and goes_on) or (run = 0 and joined), -1, run)"))
+    named = named.withColumn("name", F.expr("if((run = runs - 1 and goes_on) or (run = 0 and joined), -1, run)"))
     merged = named.groupBy("e", "home", "name").agg(
         F.min_by("first_key", "chunk").alias("first_key"), F.max_by("last_key", "chunk").alias("last_key"), F.sum("n").alias("n_events"),
         F.min("from_sec").alias("from_sec"), F.max("to_sec").alias("to_sec"), F.min_by("blank", "chunk").alias("blank"),

@@ -128,6 +128,46 @@ def test_segmentation_is_optimal():
         assert got[0] == 0 and (round(total(set(got[1:])), 9), len(got) - 1) == (round(best[0], 9), best[1])
 
 
+def test_drifting_events_are_cut_where_they_change_most():
+    rng = random.Random(14)
+    differs = 0
+    for _ in range(300):
+        x = np.cumsum([rng.choice([0.0, 0.2, 0.5, 0.8, 1.0, 1.4]) * rng.choice([-1, 1, 1]) for _ in range(rng.randint(1, 10))])
+        n = len(x)
+        cost = np.abs(np.diff(x, prepend=x[:1]))
+        cost = np.where(cost > 1, np.inf, cost)
+        forced = np.array([rng.random() < 0.1 for _ in range(n)])
+        fits = lambda a, b: abs(x[a] - x[b]) <= 2.0 + 1e-9
+
+        def total(cuts):
+            t, start = 0.0, 0
+            for i in range(1, n):
+                wall = forced[i] or np.isinf(cost[i])
+                if i in cuts:
+                    t, start = t + (0.0 if wall else 1.0), i
+                else:
+                    t += np.inf if wall or not fits(start, i) else cost[i]
+            return t
+
+        best = min((round(total(set(c)), 9), len(c)) for k in range(n) for c in itertools.combinations(range(1, n), k))
+        got = segments.segment(cost, forced, fits=fits).tolist()
+        assert got[0] == 0 and (round(total(set(got[1:])), 9), len(got) - 1) == best
+        differs += got[1:] != [i for i in range(1, n) if forced[i] or np.isinf(cost[i])]
+    assert differs > 30  # the program decides: a threshold on neighbours gives other runs
+
+
+def test_text_that_changes_bit_by_bit(spark):
+    texts = ["abcdefghijklmnop"]
+    for i in range(16):
+        texts.append(texts[-1][:i] + "z" + texts[-1][i + 1 :])
+    df = spark.createDataFrame([("v", i, float(i), t, "") for i, t in enumerate(texts)], "video string, frame long, t double, o string, c string")
+    got = sorted((r.first_key, r.last_key) for r in segments.collapse_runs(df, "video", "frame", "t", "o", "c").collect())
+    assert len(got) == 2 and got[0][0] == 0 and got[-1][1] == 16
+    noisy = [(i, "the same sign" if i % 3 else "the sane sjgn") for i in range(40)]
+    df = spark.createDataFrame([("v", i, float(i), t, "") for i, t in noisy] + [("v", 3, 90.0, "another", "")], "video string, frame long, t double, o string, c string")
+    assert sorted((r.first_key, r.n_events) for r in segments.collapse_runs(df, "video", "frame", "t", "o", "c").collect()) == [(0, 40), (3, 1)]
+
+
 def test_edit_distance():
     rng = random.Random(5)
 
