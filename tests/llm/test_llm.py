@@ -48,6 +48,27 @@ def test_neighbors_recall(spark):
     assert np.allclose(got.cosine, [s[i, j] for i, j in zip(got["id"], got.neighbor)], atol=1e-4)
 
 
+@pytest.mark.parametrize("how", [dict(max_lists=8), dict(max_lists=40, cell_rows=120, cell_queries=200), dict(list_rows=10, cell_rows=20)])
+def test_recall_with_divided_lists_blocks_and_many_cells(spark, how):
+    # As a large input meets them: lists far longer than planned, cells cut into blocks and parts, over a hundred cells.
+    x = _clustered(np.random.default_rng(3), 2400)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "f long, e array<float>").repartition(5)
+    got = neighbors.nearest_neighbors(df, "f", "e", 16, k=10, **({"list_rows": 40} | how)).toPandas()
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, axis=1)[:, :10]
+    found = set(zip(got["id"], got.neighbor))
+    assert np.mean([(i, j) in found for i in range(len(x)) for j in top[i]]) >= 0.9
+    assert not got.duplicated(["id", "neighbor"]).any() and not (got["id"] == got.neighbor).any()
+
+
+def test_large_groups_of_copies(spark):
+    rows = [(i, [1.0, 0.0, 0.0, 0.1 * (i % 50 == 0)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    plain = lambda **c: sorted(map(tuple, neighbors.nearest_neighbors(df, "id", "v", 4, k=3, **c).select("id", "neighbor", "rank").collect()))
+    assert plain(hot_copies=100) == plain() and len(plain()) == 1200
+
+
 def test_abandoning_loses_little():
     x = _clustered(np.random.default_rng(2), 500, 64) @ neighbors.rotation(64)
     d = 2 - 2 * x @ x.T
