@@ -3,7 +3,9 @@
 The items are the indexed side. Each corpus text is cut into passages of PASSAGE words that overlap by half; each is a
 query against the index and retrieves every item above a threshold. The threshold is no tuning value: for each item the
 least score that any quotation of it with the allowed changes can have is worked out, and the item's weights are divided
-by it, so an item with a true quotation always scores 1 or more. Retrieved pairs are verified by aligning words.
+by it, so an item with a true quotation always scores 1 or more. For all passages of a text at once the largest weights of
+wide blocks of items are summed; where a sum stays below 1 no item of the block can reach it, and a passage without any block
+left is done. The others run block-max WAND over the narrow blocks. Retrieved pairs are verified by aligning words.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ from framewright.session import spread
 MIN_WORDS, PER_CHANGE = 15, 8
 #: Words per passage; half of it must hold a quotation of up to 31 words with its changes.
 PASSAGE = 72
-#: Items per index; more items are searched index by index, so that what is broadcast is bounded.
-INDEX_ITEMS = 4000
+#: Items per index, and wide blocks of one; the corpus is read once per index, so that what is broadcast is bounded (about 2 KB an item).
+INDEX_ITEMS, WIDE_BLOCKS = 65536, 64
 #: Items per block of a posting list, each block with its largest weight.
 BLOCK = 16
 #: Words of the longest exact stretch that every quotation has at least: its matched words lie in one stretch more than it has
@@ -78,6 +81,11 @@ class ItemIndex:
         self.weight = {t: [s for _, s in rows] for t, rows in postings.items()}
         self.block_max = {t: [max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for t, s in self.weight.items()}
         self.most = {t: max(s) for t, s in self.weight.items()}
+        self.row = {t: i for i, t in enumerate(self.at)}
+        width = BLOCK * max(1, -(-len(items) // (BLOCK * WIDE_BLOCKS)))
+        self.wide_max = np.zeros((len(self.row) + 1, max(1, -(-len(items) // width))), np.float32)
+        for t, i in self.row.items():
+            np.maximum.at(self.wide_max[i], np.array(self.at[t]) // width, self.weight[t])
 
     @staticmethod
     def _least(words: list[str], score: dict[str, float]) -> float:
@@ -89,6 +97,14 @@ class ItemIndex:
                 found = min(found, sum(part[size // PER_CHANGE :]))
         return found
 
+    def may_score(self, passages: list[set[str]]) -> np.ndarray:
+        """Which passages some wide block may give 1 or more; the sums are of single precision, so the bound is a little below 1."""
+        none = len(self.row)  # a row of zeros, so that no passage is empty
+        rows = [[none, *(self.row[t] for t in p if t in self.row)] for p in passages]
+        begin = np.cumsum([0, *map(len, rows[:-1])])
+        sums = np.add.reduceat(self.wide_max[np.fromiter((r for x in rows for r in x), np.int64)], begin, axis=0)
+        return sums.max(axis=1) >= 1.0 - 1e-4
+
     def search(self, terms: set[str]) -> list[int]:
         """Positions of all items whose weights over the terms sum to 1 or more, by block-max WAND."""
         lists = [(t, self.at[t], self.weight[t], self.block_max[t], self.most[t]) for t in terms if t in self.at]
@@ -197,10 +213,12 @@ def leaked_items(corpus: DataFrame, items: DataFrame, key: str, text: str, item_
     texts = corpus.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     rows = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
     parts = -(-rows.count() // INDEX_ITEMS)
-    found = spark.createDataFrame([], "k long, i long")
+    found = None
     for part in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
-        found = found.unionByName(_search_part(texts, [(r.i, words_of(r.t)) for r in own.collect()]))
+        pairs = _search_part(texts, [(r.i, words_of(r.t)) for r in own.collect()])
+        found = pairs if found is None else found.unionByName(pairs)
+    found = spark.createDataFrame([], "k long, i long") if found is None else found
     return found.distinct().select(F.col("k").alias(key), F.col("i").alias(item_key))
 
 
@@ -214,9 +232,12 @@ def _search_part(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFr
             for k, t in zip(batch.k, batch.t):
                 words = words_of(t)
                 near = defaultdict(list)
-                for at in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2):
-                    part = words[at : at + PASSAGE]
-                    if retrieved := index.search(set(part)):
+                starts = range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2)
+                terms = [set(words[at : at + PASSAGE]) for at in starts]
+                for n in np.flatnonzero(index.may_score(terms)):
+                    if retrieved := index.search(terms[n]):
+                        at = starts[n]
+                        part = words[at : at + PASSAGE]
                         common = {x for i in range(len(part) - STRETCH + 1) for x in index.stretches.get(tuple(part[i : i + STRETCH]), ())}
                         for item in retrieved:
                             if item in common:

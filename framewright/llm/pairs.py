@@ -266,25 +266,39 @@ def _is_latin(ch: str) -> bool:
     return unicodedata.name(ch, "").startswith("LATIN")
 
 
-def language_scores(text: str) -> tuple[dict[str, float], int, float]:
-    """Function words per language, each twice at most (one shared by n languages counts 1/n in each), words, share of letters beyond Latin script."""
-    scores: dict[str, float] = {}
-    words = _LETTERS.findall(text)
-    met: dict[str, int] = {}
-    for w in words:
+def function_words(words: list[str]) -> Counter:
+    """How often each function word of any language is met; words in capitals are left aside, the part before an apostrophe counts too."""
+    met: Counter = Counter()
+    for w, n in Counter(words).items():
         if w.isupper() and len(w) > 1:
             continue
         w = w.lower()
-        met[w] = met.get(w, 0) + 1
-        if met[w] > 2:
-            continue
-        for part in (w, *re.split(r"['’]", w)[:1]) if "'" in w or "’" in w else (w,):
-            found = _WORD_LANGUAGES.get(part, ())
-            for language in found:
-                scores[language] = scores.get(language, 0.0) + 1.0 / len(found)
-    letters = Counter("".join(words))
-    far = sum(n for ch, n in letters.items() if not _is_latin(ch)) / max(1, letters.total())
-    return scores, len(words), far
+        if w in _WORD_LANGUAGES:
+            met[w] += n
+        elif "'" in w or "’" in w:
+            w = re.split(r"['’]", w)[0]
+            if w in _WORD_LANGUAGES:
+                met[w] += n
+    return met
+
+
+def language_scores(text: str) -> tuple[dict[str, float], int, float]:
+    """Function words per language, each twice at most (one shared by n languages counts 1/n in each), words, share of letters beyond Latin script."""
+    scores, _, words, far = _languages(text)
+    return scores, words, far
+
+
+def _languages(text: str) -> tuple[dict[str, float], Counter, int, float]:
+    words = _LETTERS.findall(text)
+    met = function_words(words)
+    scores: dict[str, float] = {}
+    for w, n in met.items():
+        found = _WORD_LANGUAGES[w]
+        for language in found:
+            scores[language] = scores.get(language, 0.0) + min(n, 2) / len(found)
+    joined = "".join(words)
+    far = 0.0 if joined.isascii() else sum(n for ch, n in Counter(joined).items() if not _is_latin(ch)) / max(1, len(joined))
+    return scores, met, len(words), far
 
 
 def prompt_language(prompt: str) -> str | None:
@@ -302,7 +316,7 @@ def is_foreign(prompt: str | None, text: str) -> bool:
     if not prompt:
         return False
     body = re.sub(r"^#+ .*$", " ", without_quotations(prose_of(text)), flags=re.M)
-    scores, words, far = language_scores(body)
+    scores, met, words, far = _languages(body)
     want = prompt_language(prompt)
     if not want:
         # No language is known by its words, but a script may be: a prompt beyond Latin script that is answered in Latin.
@@ -312,16 +326,14 @@ def is_foreign(prompt: str | None, text: str) -> bool:
     if not scores:
         return False
     top = max(sorted(scores), key=lambda k: scores[k])
-    met = Counter(w.lower() for w in _LETTERS.findall(body) if not (w.isupper() and len(w) > 1))
-    foreign = {w: n for w, n in met.items() if w in _WORD_LANGUAGES and want not in _WORD_LANGUAGES[w]}
+    foreign = {w: n for w, n in met.items() if want not in _WORD_LANGUAGES[w]}
     # A word that other languages have with another meaning names no language alone, however often it is there.
     if len(foreign) < 2 and (not foreign or not _HOMOGRAPHS.isdisjoint(foreign)):
         return False
     if top != want and scores[top] >= LANGUAGE_WORDS and scores.get(want, 0.0) <= EXPECTED_SHARE * scores[top]:
         return True
     # Words of languages that share them, but that the expected one doesn't have.
-    own = sum(min(n, 2) for w, n in met.items() if want in _WORD_LANGUAGES.get(w, ()))
-    return not own and sum(min(n, 2) for n in foreign.values()) >= LANGUAGE_WORDS
+    return len(foreign) == len(met) and sum(min(n, 2) for n in foreign.values()) >= LANGUAGE_WORDS
 
 
 # ---------------------------------------------------------------- truncated

@@ -280,6 +280,7 @@ def test_wand_retrieves_all_above_threshold():
         terms = {f"w{rng.randint(0, 70)}" for _ in range(rng.randint(1, 25))}
         want = [i for i in range(len(index.ids)) if sum(index.weight[t][index.at[t].index(i)] for t in terms if i in index.at.get(t, ())) >= 1.0]
         assert index.search(terms) == want
+        assert index.may_score([set(), terms])[1] or not want
 
 
 def test_quotations():
