@@ -2,11 +2,12 @@
 
 Each interval of whole milliseconds [a, b] covers the integer cells [2a, 2b + 1): even cells are instants, odd cells
 the open milliseconds between them, so two intervals touch exactly if their cells overlap or adjoin. The cells are cut
-at buckets of 2**BUCKET_BITS cells and each piece is decomposed into canonical dyadic blocks, numbered as the nodes of
-a binary tree over its bucket (root 1, children 2n and 2n + 1). The blocks of an (entity, bucket) are gathered as a set
-that is built before the shuffle, so repeats and hot entities shrink early and an entity is spread over its buckets.
-Blocks below another block are removed, sibling pairs merge upward and neighbours coalesce. Periods that cross buckets
-are joined from one row per (entity, bucket).
+at buckets of 2**BUCKET_BITS cells and the pieces at both ends are decomposed into canonical dyadic blocks, numbered as the nodes of
+a binary tree over their bucket (root 1, children 2n and 2n + 1). The whole buckets between them are the cells of the next level, which are
+cut and decomposed in the same way, so an interval of any length gives a few pieces. The blocks of an (entity, level, bucket) are gathered
+as a set that is built before the shuffle, so repeats and hot entities shrink early and an entity is spread over its buckets.
+Blocks below another block are removed, sibling pairs merge upward and neighbours coalesce. Buckets below a range of a higher level are
+removed, and periods that cross buckets are joined, from one row per (entity, bucket).
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A bucket is 2**22 cells, about 35 minutes; at most 2**23 - 1 block numbers exist in one.
+#: A bucket is 2**22 cells, about 35 minutes on the first level; at most 2**23 - 1 block numbers exist in one.
 BUCKET_BITS = 22
+#: Levels of buckets; three reach beyond 2**62 cells.
+LEVELS = 3
 
 
 def dyadic_blocks_sql(lo: str, hi: str, bits: int = BUCKET_BITS) -> str:
@@ -72,23 +75,36 @@ def coalesce_blocks(group: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.
     return g[new], s[new], e[last]
 
 
+def _pieces_sql(bits: int = BUCKET_BITS) -> str:
+    """SQL for the pieces (level, bucket, lo, hi) of cells [lo1, hi1): both ends of each level, the middle being the next level's."""
+    parts = []
+    for level in range(1, LEVELS + 1):
+        lo, hi = f"lo{level}", f"hi{level}"
+        piece = lambda bucket, a, b: f"named_struct('level', {level}, 'bucket', {bucket}, 'lo', {a}, 'hi', {b})"
+        first, last = f"shiftright({lo}, {bits})", f"shiftright({hi} - 1L, {bits})"
+        size = f"{1 << bits}L"
+        parts.append(f"if({lo} < {hi}, {piece(first, f'{lo} - {first} * {size}', f'least({hi} - {first} * {size}, {size})')}, null)")
+        parts.append(f"if({lo} < {hi} and {first} < {last}, {piece(last, '0L', f'{hi} - {last} * {size}')}, null)")
+    return f"filter(array({', '.join(parts)}), p -> p is not null)"
+
+
 def _coalesce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes = batch.column("nodes")
         lengths = np.diff(nodes.offsets.to_numpy())
         flat = nodes.flatten().to_numpy()
-        bucket = batch.column("bucket").to_numpy()
+        bucket, level = batch.column("bucket").to_numpy(), batch.column("level").to_numpy().astype(np.int64)
         g, s, e = coalesce_blocks(np.repeat(np.arange(len(lengths)), lengths), flat, BUCKET_BITS)
         offsets = np.searchsorted(g, np.arange(len(lengths) + 1)).astype(np.int32)
-        base = bucket[g] << BUCKET_BITS
+        base, shift = bucket[g] << BUCKET_BITS, BUCKET_BITS * (level[g] - 1)
         yield pa.record_batch(
             [
                 batch.column("entity"),
-                batch.column("bucket"),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(s + base)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(e + base)),
+                batch.column("level"),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array((s + base) << shift)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array((e + base) << shift)),
             ],
-            names=["entity", "bucket", "starts", "ends"],
+            names=["entity", "level", "starts", "ends"],
         )
 
 
@@ -100,33 +116,36 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, unit_ms:
 
     Defined cases: bounds are rounded half up to whole milliseconds first, so residue below that neither splits nor
     reverses an interval; intervals that share an instant join; an instant (start = end) is a period. Rows whose entity
-    or bound is null, whose bound is NaN or infinite, or whose rounded start is after its end count for nothing. Repeated rows
-    count once, other columns are not read, an empty table gives no rows.
+    or bound is null, whose bound is NaN, infinite or 2**61 ms (73 million years) or more, or whose rounded start is after its end count
+    for nothing. Repeated rows count once, other columns are not read, an empty table gives no rows.
     """
     ms = lambda c: F.round(F.col(c).cast("double") * unit_ms)
     cells = (
         df.select(F.col(entity).cast("string").alias("entity"), ms(start).alias("a"), ms(end).alias("b"))
-        .where("entity is not null and a <= b and abs(a) < 1e15 and abs(b) < 1e15")
-        .select("entity", (F.col("a").cast("long") * 2).alias("lo"), (F.col("b").cast("long") * 2 + 1).alias("hi"))
+        .where(f"entity is not null and a <= b and abs(a) < {float(1 << 61)} and abs(b) < {float(1 << 61)}")
+        .select("entity", (F.col("a").cast("long") * 2).alias("lo1"), (F.col("b").cast("long") * 2 + 1).alias("hi1"))
     )
-    size = 1 << BUCKET_BITS
-    pieces = (
-        cells.withColumn("bucket", F.explode(F.expr(f"sequence(shiftright(lo, {BUCKET_BITS}), shiftright(hi - 1L, {BUCKET_BITS}))")))
-        .withColumn("lo", F.expr(f"greatest(lo - bucket * {size}L, 0L)"))
-        .withColumn("hi", F.expr(f"least(hi - bucket * {size}L, {size}L)"))
-    )
-    blocks = pieces.select("entity", "bucket", F.explode(F.expr(dyadic_blocks_sql("lo", "hi"))).alias("node"))
-    sets = blocks.groupBy("entity", "bucket").agg(F.collect_set("node").alias("nodes"))
-    local = sets.mapInArrow(_coalesce_batches, "entity string, bucket long, starts array<long>, ends array<long>")
-
-    w = Window.partitionBy("entity").orderBy("bucket")
+    for level in range(1, LEVELS):
+        cells = cells.withColumn(f"lo{level + 1}", F.expr(f"shiftright(lo{level}, {BUCKET_BITS}) + 1L")).withColumn(f"hi{level + 1}", F.expr(f"if(lo{level} < hi{level}, shiftright(hi{level} - 1L, {BUCKET_BITS}), lo{level + 1})"))
+    pieces = cells.select("entity", F.explode(F.expr(_pieces_sql())).alias("p")).select("entity", "p.*")
+    blocks = pieces.select("entity", "level", "bucket", F.explode(F.expr(dyadic_blocks_sql("lo", "hi"))).alias("node"))
+    sets = blocks.groupBy("entity", "level", "bucket").agg(F.collect_set("node").alias("nodes"))
+    local = sets.mapInArrow(_coalesce_batches, "entity string, level int, starts array<long>, ends array<long>")
+    # Ranges of higher levels one by one; what lies below one of them is removed. A bucket lies below a range wholly or not at all.
+    one = lambda x: F.struct(F.array(x["starts"]).alias("starts"), F.array(x["ends"]).alias("ends"))
+    ranges = F.when(F.col("level") == 1, F.array(F.struct("starts", "ends"))).otherwise(F.transform(F.arrays_zip("starts", "ends"), one))
+    local = local.select("entity", "level", F.explode(ranges).alias("r")).select("entity", "level", "r.starts", "r.ends", F.col("r.starts")[0].alias("at"))
+
+    w = Window.partitionBy("entity").orderBy("at", F.desc("level"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    local = local.withColumn("covered", F.coalesce(F.max(F.when(F.col("level") > 1, F.element_at("ends", -1))).over(before) > F.col("at"), F.lit(False))).where("not covered")
     local = (
         local.withColumn("prev_end", F.lag(F.expr("element_at(ends, -1)")).over(w))
         .withColumn("next_start", F.lead(F.expr("starts[0]")).over(w))
         .withColumn("joined", F.expr("coalesce(starts[0] = prev_end, false)"))
         .withColumn("goes_on", F.expr("coalesce(element_at(ends, -1) = next_start, false)"))
         .withColumn("open", F.expr("if(size(starts) > 1 or not joined, element_at(starts, -1), null)"))
-        .withColumn("carried", F.last("open", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("carried", F.last("open", ignorenulls=True).over(before))
     )
     rows = local.select("entity", "prev_end", "joined", "goes_on", "carried", "starts", "ends", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "x"))
     rows = rows.select(
