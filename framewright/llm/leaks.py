@@ -13,7 +13,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -60,7 +59,7 @@ def words_of(text: str | None) -> list[str]:
 class ItemIndex:
     """BM25 postings of items with block maxima; weights are divided by each item's least score of a quotation."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    def __init__(self, items: list[tuple[int, list[str]]], wide_blocks: int = WIDE_BLOCKS):
         items = sorted((i, w) for i, w in items if len(w) >= MIN_WORDS)
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
@@ -77,15 +76,18 @@ class ItemIndex:
         for at, w in enumerate(self.words):
             for h in {tuple(w[i : i + STRETCH]) for i in range(len(w) - STRETCH + 1)}:
                 self.stretches[h].append(at)
-        self.at = {t: [p for p, _ in rows] for t, rows in postings.items()}
-        self.weight = {t: [s for _, s in rows] for t, rows in postings.items()}
-        self.block_max = {t: [max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for t, s in self.weight.items()}
-        self.most = {t: max(s) for t, s in self.weight.items()}
+        self.at = {t: np.array([p for p, _ in rows]) for t, rows in postings.items()}
+        self.weight = {t: np.array([s for _, s in rows]) for t, rows in postings.items()}
+        # Blocks of BLOCK items that a posting list touches, and its largest weight in each.
+        self.blocks, self.block_max = {}, {}
+        for t, at in self.at.items():
+            first = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
+            self.blocks[t], self.block_max[t] = (at // BLOCK)[first], np.maximum.reduceat(self.weight[t], first)
         self.row = {t: i for i, t in enumerate(self.at)}
-        width = BLOCK * max(1, -(-len(items) // (BLOCK * WIDE_BLOCKS)))
-        self.wide_max = np.zeros((len(self.row) + 1, max(1, -(-len(items) // width))), np.float32)
+        self.width = max(1, -(-len(items) // (BLOCK * wide_blocks)))
+        self.wide_max = np.zeros((len(self.row) + 1, max(1, -(-len(items) // (BLOCK * self.width)))), np.float32)
         for t, i in self.row.items():
-            np.maximum.at(self.wide_max[i], np.array(self.at[t]) // width, self.weight[t])
+            np.maximum.at(self.wide_max[i], self.blocks[t] // self.width, self.block_max[t])
 
     @staticmethod
     def _least(words: list[str], score: dict[str, float]) -> float:
@@ -98,67 +100,36 @@ class ItemIndex:
         return found
 
     def may_score(self, passages: list[set[str]]) -> np.ndarray:
-        """Which passages some wide block may give 1 or more; the sums are of single precision, so the bound is a little below 1."""
+        """For each passage, the wide blocks that may give 1 or more; the sums are of single precision, so the bound is a little below 1."""
         none = len(self.row)  # a row of zeros, so that no passage is empty
         rows = [[none, *(self.row[t] for t in p if t in self.row)] for p in passages]
         begin = np.cumsum([0, *map(len, rows[:-1])])
         sums = np.add.reduceat(self.wide_max[np.fromiter((r for x in rows for r in x), np.int64)], begin, axis=0)
-        return sums.max(axis=1) >= 1.0 - 1e-4
+        return sums >= 1.0 - 1e-4
 
-    def search(self, terms: set[str]) -> list[int]:
-        """Positions of all items whose weights over the terms sum to 1 or more, by block-max WAND."""
-        lists = [(t, self.at[t], self.weight[t], self.block_max[t], self.most[t]) for t in terms if t in self.at]
-        if sum(x[4] for x in lists) < 1.0:
-            return []
+    def search(self, terms: set[str], wide: np.ndarray | None = None) -> list[int]:
+        """Positions of all items whose weights over the terms sum to 1 or more, by block-max WAND.
+
+        The threshold is fixed, so WAND's test, the sum of upper bounds against it, is made for all blocks at once: for the wide blocks
+        (unless the caller did), for the blocks within those that pass, and the postings of the blocks that pass are summed.
+        """
         need = 1.0 - 1e-9
-        out = []
-        cursors = [[at[0], 0, k] for k, (_, at, *_rest) in enumerate(lists)]
-        cursors.sort()
-        while cursors:
-            total, pivot = 0.0, -1
-            for n, (_, _, k) in enumerate(cursors):
-                total += lists[k][4]
-                if total >= need:
-                    pivot = n
-                    break
-            if pivot < 0:
-                break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            # The blocks that hold the pivot item, with a bound on the items they share.
-            bound, until = 0.0, math.inf
-            for n in range(pivot + 1):
-                _, pos, k = cursors[n]
-                at, peaks = lists[k][1], lists[k][3]
-                p = bisect_left(at, item, pos)
-                if p < len(at):
-                    b = p // BLOCK
-                    bound += peaks[b]
-                    until = min(until, at[min(len(at), (b + 1) * BLOCK) - 1] + 1)
-            if pivot + 1 < len(cursors):
-                until = min(until, cursors[pivot + 1][0])
-            if bound >= need:
-                if cursors[0][0] == item:
-                    score = sum(lists[k][2][pos] for i, pos, k in cursors[: pivot + 1] if i == item)
-                    if score >= need:
-                        out.append(item)
-                    target = item + 1
-                else:
-                    target = item
-            else:
-                target = max(item + 1, until) if until < math.inf else item + 1
-            moved = []
-            for n, (i, pos, k) in enumerate(cursors):
-                if n <= pivot and i < target:
-                    at = lists[k][1]
-                    pos = bisect_left(at, target, pos)
-                    if pos < len(at):
-                        moved.append([at[pos], pos, k])
-                else:
-                    moved.append([i, pos, k])
-            moved.sort()
-            cursors = moved
+        found = [t for t in terms if t in self.row]
+        if not found:
+            return []
+        wide = self.may_score([set(found)])[0] if wide is None else wide
+        edge = np.flatnonzero(np.diff(wide.astype(np.int8), prepend=0, append=0))
+        out: list[int] = []
+        for a, b in edge.reshape(-1, 2) * self.width:
+            cut = [(t, *np.searchsorted(self.blocks[t], (a, b))) for t in found]
+            bound = np.bincount(np.concatenate([self.blocks[t][p:q] - a for t, p, q in cut]), np.concatenate([self.block_max[t][p:q] for t, p, q in cut]), b - a)
+            passed = bound >= need
+            if not passed.any():
+                continue
+            cut = [(t, *np.searchsorted(self.at[t], (a * BLOCK, b * BLOCK))) for t, p, q in cut if q > p]
+            items, weights = np.concatenate([self.at[t][p:q] - a * BLOCK for t, p, q in cut]), np.concatenate([self.weight[t][p:q] for t, p, q in cut])
+            keep = passed[items // BLOCK]
+            out += (np.flatnonzero(np.bincount(items[keep], weights[keep]) >= need) + a * BLOCK).tolist()
         return out
 
 
@@ -234,8 +205,9 @@ def _search_part(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFr
                 near = defaultdict(list)
                 starts = range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2)
                 terms = [set(words[at : at + PASSAGE]) for at in starts]
-                for n in np.flatnonzero(index.may_score(terms)):
-                    if retrieved := index.search(terms[n]):
+                wide = index.may_score(terms)
+                for n in np.flatnonzero(wide.any(axis=1)):
+                    if retrieved := index.search(terms[n], wide[n]):
                         at = starts[n]
                         part = words[at : at + PASSAGE]
                         common = {x for i in range(len(part) - STRETCH + 1) for x in index.stretches.get(tuple(part[i : i + STRETCH]), ())}

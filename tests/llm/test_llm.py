@@ -278,9 +278,21 @@ def test_wand_retrieves_all_above_threshold():
     index = leaks.ItemIndex([(i, _item(rng)) for i in range(120)])
     for _ in range(200):
         terms = {f"w{rng.randint(0, 70)}" for _ in range(rng.randint(1, 25))}
-        want = [i for i in range(len(index.ids)) if sum(index.weight[t][index.at[t].index(i)] for t in terms if i in index.at.get(t, ())) >= 1.0]
+        want = [i for i in range(len(index.ids)) if sum(index.weight[t][index.at[t].tolist().index(i)] for t in terms if i in index.at.get(t, ())) >= 1.0]
         assert index.search(terms) == want
-        assert index.may_score([set(), terms])[1] or not want
+        assert index.may_score([set(), terms])[1].any() or not want
+
+
+def test_wand_over_wide_blocks():
+    rng = random.Random(17)
+    index = leaks.ItemIndex([(i, [f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randint(15, 40))]) for i in range(1500)], wide_blocks=5)
+    assert index.width > 1 and index.wide_max.shape[1] <= 5
+    for _ in range(100):
+        terms = set(rng.choice(index.words)) if rng.random() < 0.5 else {f"w{int(rng.expovariate(0.01))}" for _ in range(30)}
+        score = np.zeros(len(index.ids))
+        for t in terms & set(index.at):
+            score[index.at[t]] += index.weight[t]
+        assert index.search(terms) == np.flatnonzero(score >= 1 - 1e-9).tolist()
 
 
 def test_quotations():
