@@ -51,7 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/framewright/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut`` returned; nothing may read the frame, or what was built on it, any more."""
+    _delete(df.sparkSession, df.cut_path)
 
 
 def spread(df: DataFrame) -> DataFrame:
