@@ -114,8 +114,10 @@ def test_components_against_brute_force(spark):
     for a in parent:
         groups.setdefault(find(a), []).append(a)
     want = {a: min(g) for g in groups.values() for a in g}
-    got = components(spark.createDataFrame(links, "p string, q string").withColumn("src", F.lit(1)), "p", "q").collect()
-    assert {r.member: r.group_id for r in got} == want and len(got) == len(want)
+    df = spark.createDataFrame(links, "p string, q string").withColumn("src", F.lit(1))
+    for hub_links in (200_000, 20):  # with 20 the hub, and the larger clusters, are joined apart
+        got = components(df, "p", "q", hub_links=hub_links).collect()
+        assert {r.member: r.group_id for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([("x", "x")], "p string, q string"), "p", "q").count() == 0
 
 
