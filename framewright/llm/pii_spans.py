@@ -390,6 +390,7 @@ def _name(text: str, start: int, end: int, given: str, family: str, middle: bool
 
 
 _TITLE_WORD = re.compile(_TITLE, re.I)
+_TITLE_SET = frozenset(re.findall(r"\w+", _TITLE.lower()[3:]))
 _TITLED = re.compile(rf"(?:^|\W){_TITLE}\W?$")
 
 
@@ -444,6 +445,15 @@ def _names(text: str, words: set, given_names: frozenset, common: frozenset) ->
                     propose(pieces[a + 1 : b], False)
 
     for m in RUN.finditer(text):
+        # Most runs are places or signs, which the words alone tell: no given name of the list, initial or title in them.
+        parts = _PLAIN_WORDS.findall(m[0].lower())
+        if "." not in m[0] and given_names.isdisjoint(parts) and _TITLE_SET.isdisjoint(parts):
+            if parts[-1] in PLACE_WORDS:
+                continue
+            if m[0].isupper() or not COMMON.isdisjoint(parts):
+                left = _left(text, m.start())
+                if not (_TITLED.search(left) or _SIGN_CUE.search(left)) and (m[0].isupper() or len(COMMON.union(parts)) - len(COMMON) < 2):
+                    continue
         pieces = [(m.start() + p.start(), m.start() + p.end(), p[0]) for p in _PIECE.finditer(m[0])]
         if pieces[0][2] == "M." and len(pieces) > 2 and in_list(pieces[1][2].lower()):
             pieces = pieces[1:]  # a title
