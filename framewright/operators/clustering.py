@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.vectors import pairs_within
@@ -165,3 +165,116 @@ def complete_linkage(nodes: DataFrame, cannot: DataFrame, key: str, vector: str,
     near = pairs_within(rest, key, vector, limit).join(of("a"), "a").join(of("b"), "b").where("ca = cb")
     near = near.join(edge.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     return out.unionByName(merge_rounds(near, rest, key))
+
+
+def best_shots(crops: DataFrame, cluster: str, key: str, vector: str, quality: str, good: str, k: int = 3) -> DataFrame:
+    """(cluster, key, vector): each cluster's k crops of the best quality, of its good ones if it has any; equal ones by key.
+
+    good: a boolean column. Rows with a null cluster, key or vector count for nothing; a null quality comes last.
+    """
+    rows = crops.where(F.col(cluster).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull())
+    rows = rows.select(F.col(cluster).alias("cluster"), F.col(key).alias("key"), F.col(vector).alias("vector"), F.coalesce(F.col(good), F.lit(False)).alias("__good"), F.col(quality).alias("__q"))
+    any_good = rows.groupBy("cluster").agg(F.max("__good").alias("__any"))
+    w = Window.partitionBy("cluster").orderBy(F.desc_nulls_last("__q"), "key")
+    return rows.join(any_good, "cluster").where("__good or not __any").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select("cluster", "key", "vector")
+
+
+def farthest_pairs(shots: DataFrame, limit: float, apart: DataFrame) -> DataFrame:
+    """(a, b, distance), a < b: pairs of clusters all of whose shots are within ``limit`` of each other, with the farthest distance.
+
+    shots: (cluster, key, vector of length one); apart: (a, b) pairs of clusters that may never merge, in either order.
+    """
+    of = lambda s: shots.select(F.col("key").alias(s), F.col("cluster").alias(f"c{s}"))
+    near = pairs_within(shots, "key", "vector", limit).join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+    both = near.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("distance").alias("distance"), F.count("*").alias("n"))
+    size = shots.groupBy("cluster").agg(F.count("*").alias("size"))
+    whole = both.join(size.select(F.col("cluster").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("size").alias("nb")), "b").where("n = na * nb")
+    barred = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return whole.select("a", "b", "distance").join(barred, ["a", "b"], "left_anti")
+
+
+def shot_linkage(shots: DataFrame, clusters: DataFrame, apart: DataFrame, limit: float) -> DataFrame:
+    """(cluster, merged): complete linkage of clusters on their shots; ``clusters`` is a table with each cluster once.
+
+    The distance of two clusters is that of their farthest shots, and a merged cluster has the shots of both, so this is complete
+    linkage over the table of cluster pairs.
+    """
+    merged = merge_rounds(farthest_pairs(shots, limit, apart), clusters.select(F.col("cluster").alias("key")), "key")
+    return merged.select(F.col("key").alias("cluster"), F.col("cluster").alias("merged"))
+
+
+def merge_gated(pairs: list[tuple], vectors: dict, limit: float) -> dict:
+    """Cluster of each name: the pair with the nearest vectors merges while that is within the limit and all its shots are within the gate.
+
+    pairs: (a, b, farthest distance of their shots) that pass the gate; vectors: of length one, the merged one being the scaled sum.
+    """
+    near: dict = defaultdict(dict)
+    for a, b, far in pairs:
+        near[a][b] = near[b][a] = far
+    vectors, version, root = dict(vectors), dict.fromkeys(vectors, 0), {k: k for k in vectors}
+    heap: list[tuple] = []
+
+    def push(a, b) -> None:
+        a, b = min(a, b), max(a, b)
+        d = round(float(1.0 - vectors[a] @ vectors[b]), 9)
+        if d <= limit:
+            heapq.heappush(heap, (d, a, b, version[a], version[b]))
+
+    for a, b, _ in pairs:
+        push(a, b)
+    while heap:
+        _, a, b, va, vb = heapq.heappop(heap)
+        if version[a] != va or version[b] != vb or b not in near[a]:
+            continue
+        root[b] = a
+        version[a] += 1
+        version[b] = -1
+        v = vectors[a] + vectors[b]
+        vectors[a] = v / (np.linalg.norm(v) + 1e-9)
+        kept, gone = near.pop(a), near.pop(b)
+        for k in (kept.keys() | gone.keys()) - {a, b}:
+            near[k].pop(a, None)
+            near[k].pop(b, None)
+        near[a] = {}
+        # A third cluster stays in the gate only where it was for both.
+        for k in (kept.keys() & gone.keys()) - {a, b}:
+            near[a][k] = near[k][a] = max(kept[k], gone[k])
+            push(a, k)
+    out = {}
+    for k in root:
+        top = k
+        while root[top] != top:
+            top = root[top]
+        out[k] = top
+    return out
+
+
+def gated_linkage(appearance: DataFrame, shots: DataFrame, apart: DataFrame, limit: float, gate: float) -> DataFrame:
+    """(cluster, merged): clusters merge in the order of their appearance distance while it is within ``limit``, if all shots of both are within ``gate``.
+
+    appearance: (cluster, vector of length one). A merge never joins clusters from different components of the graph of pairs that pass
+    the gate, so these are merged on their own, one task each; its memory is that of the pairs of one component of clusters.
+    """
+    near = cut(farthest_pairs(shots, gate, apart))
+    names = appearance.where("cluster is not null and vector is not null").dropDuplicates(["cluster"])
+    comp = label_components(near, names, "a", "b", "cluster")
+    kind = appearance.schema["cluster"].dataType.simpleString()
+
+    def run(own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        vectors = {k: np.array(v, np.float64) for k, v in zip(own.cluster, own.vector)}
+        found = merge_gated([p for p in zip(pairs.a, pairs.b, pairs.distance) if p[0] in vectors and p[1] in vectors], vectors, limit)
+        return pd.DataFrame({"cluster": list(found), "merged": list(found.values())})
+
+    left = names.join(comp, "cluster").select("cluster", "vector", "component")
+    right = near.join(comp.select(F.col("cluster").alias("a"), F.col("component").alias("other")), "a")
+    return left.groupBy("component").cogroup(right.groupBy("other")).applyInPandas(run, f"cluster {kind}, merged {kind}").where("cluster is not null")
+
+
+def merge_proposals(appearance: DataFrame, shots: DataFrame, together: DataFrame, limit: float, gate: float) -> DataFrame:
+    """(a, b, app_dist, face_dist): pairs of named clusters that look alike by body and by their farthest shots and never share a frame.
+
+    together: (a, b) clusters that appear in one frame. Both distances are rounded to three places.
+    """
+    near = pairs_within(appearance, "cluster", "vector", limit).withColumnRenamed("distance", "app")
+    face = farthest_pairs(shots, gate, together)
+    return near.join(face, ["a", "b"]).select("a", "b", F.round("app", 3).alias("app_dist"), F.round("distance", 3).alias("face_dist"))

@@ -9,7 +9,7 @@ from framewright.functions import numeric as N
 from framewright.functions import text as X
 from framewright.operators.joins import range_join
 from framewright.operators.tables import one_row
-from framewright.operators.vectors import farthest_within
+from framewright.operators.vectors import cluster_distances, farthest_within
 from framewright.plans.base import DETECTIONS, FRAMES, TRACKS, Registry, detections, frames, tracks, with_sql
 from framewright.sources.tables import table
 
@@ -85,11 +85,7 @@ def silhouette(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 4).alias("own"), "embedding")
     dims = v.select("own", F.posexplode("embedding").alias("i", "x")).groupBy("own", "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
     g = dims.groupBy(F.col("own").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("m"), F.max("n").alias("n"))
-    clusters = g.agg(F.collect_list(F.struct("c", "m", "n")).alias("gs"))  # one row per cluster, of the vectors' length
-    far = v.crossJoin(F.broadcast(clusters)).select("vec_id", "own", "embedding", F.explode("gs").alias("g"))
-    same = F.col("own") == F.col("g.c")
-    dist = (F.col("g.n") - N.dot(F.col("embedding"), F.col("g.m"))) / F.when(same, F.nullif(F.col("g.n") - 1, F.lit(0))).otherwise(F.col("g.n"))
-    w = far.withColumn("dist", dist).groupBy("vec_id").agg(F.max(F.when(same, F.col("dist"))).alias("a"), F.min(F.when(~same, F.col("dist"))).alias("b"))
+    w = cluster_distances(v, g, "vec_id", "own", "embedding")
     return w.agg(F.round(F.avg(F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))), 5).alias("silhouette"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright.functions import numeric as N
 from framewright.functions import text as X
 from framewright.operators.sequences import islands, scene_cuts, with_previous
+from framewright.operators.tables import numbered
 from framewright.plans.base import DETECTIONS, FRAMES, Registry, detections, frames, with_sql
 from framewright.sources.tables import table
 
@@ -113,9 +114,9 @@ def distinct_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 @register(with_sql("c as (select label, count(*) n from embeddings where label % 7 <> 0 group by 1)") + "select label, printf('Face_%02d', row_number() over (order by n desc, label)) as face_id from c")
 def identity_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Names by size of the identities, the smaller label first of equals; one row per identity is ranked."""
+    """Names by size of the identities, the smaller label first of equals."""
     c = table(spark, d, "embeddings").where("label % 7 <> 0").groupBy("label").agg(F.count("*").alias("n"))
-    return c.select("label", F.format_string("Face_%02d", F.row_number().over(Window.orderBy(F.desc("n"), "label"))).alias("face_id"))
+    return numbered(c, [F.desc("n"), F.col("label")]).select("label", F.format_string("Face_%02d", "rank").alias("face_id"))
 
 
 @register()
