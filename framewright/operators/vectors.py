@@ -87,9 +87,9 @@ def top_neighbors(queries: DataFrame, base: DataFrame, key: str, vector: str, k:
 def mean_vector(df: DataFrame, by: str, vector: str, weight=None, unit: bool = True) -> DataFrame:
     """(by, mean ARRAY<DOUBLE>): the weighted mean of each group's vectors, scaled to length one; summed per dimension before the shuffle."""
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    parts = df.where(F.col(vector).isNotNull()).select(by, w.cast("double").alias("w"), F.posexplode(vector).alias("i", "x"))
-    dims = parts.groupBy(by, "i").agg(F.sum(F.col("w") * F.col("x")).alias("s"), F.sum("w").alias("w"))
-    vectors = dims.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("w")).alias("m")))), lambda x: x["m"]).alias("mean"))
+    parts = df.where(F.col(vector).isNotNull()).select(by, w.cast("double").alias("__w"), F.posexplode(vector).alias("__i", "__x"))
+    dims = parts.groupBy(by, "__i").agg(F.sum(F.col("__w") * F.col("__x")).alias("__s"), F.sum("__w").alias("__w"))
+    vectors = dims.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", (F.col("__s") / F.col("__w")).alias("__m")))), lambda x: x["__m"]).alias("mean"))
     if not unit:
         return vectors
     length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)) + 1e-12

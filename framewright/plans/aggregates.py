@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
 from framewright.functions import text as X
+from framewright.operators.scenes import frequent_distinct
 from framewright.operators.tables import one_row
 from framewright.operators.vectors import mean_vector
 from framewright.plans.base import DETECTIONS, FRAMES, IDENTITIES, TRACKS, Registry, detections, frames, identities, tracks, with_sql
@@ -68,13 +69,6 @@ def faces_of_frame(spark: SparkSession, d: str) -> DataFrame:
 _COMMON = "c as (select video_id, scene_index, trim(caption, e' \\t\\n\\r') t, count(*) n, min(frame_id) f from frames where scene_index is not null and trim(coalesce(caption, ''), e' \\t\\n\\r') <> '' group by 1, 2, 3)"
 
 
-def frequent_distinct(df: DataFrame, by: list[str], text: str, order: str, limit: int) -> DataFrame:
-    """(by, texts): distinct stripped non-empty texts of a group, the most frequent first, of equals the one met first."""
-    c = df.select(*by, X.stripped(text).alias("t"), F.col(order).alias("o")).where("t <> ''").groupBy(*by, "t").agg(F.count("*").alias("n"), F.min("o").alias("o"))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "o", "t")))
-    return c.groupBy(*by).agg(F.transform(F.slice(best, 1, limit), lambda x: x["t"]).alias("texts"))
-
-
 @register(with_sql(FRAMES, _COMMON) + "select video_id, scene_index, list(t order by n desc, f)[1:5] as texts from c group by 1, 2")
 def frequent_captions(spark: SparkSession, d: str) -> DataFrame:
     """The five most frequent captions of each scene."""

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import text as X
-from framewright.functions.numeric import minutes_seconds
+from framewright.functions.numeric import unit
 from framewright.operators import narration as T
-from framewright.plans.aggregates import frequent_distinct
+from framewright.operators import scenes as S
+from framewright.operators.scenes import frequent_distinct
 from framewright.plans.base import FRAMES, Registry, frames, with_sql
+from framewright.session import cut
 from framewright.sources.tables import table
 
 register = Registry()
@@ -36,23 +38,77 @@ def scene_table(spark: SparkSession, d: str) -> DataFrame:
     return scenes(spark, d)
 
 
-_LINE = "'[' || cast(floor(start_sec) as bigint) // 60 || ':' || lpad(cast(cast(floor(start_sec) as bigint) % 60 as varchar), 2, '0') || '] ' || coalesce(chapter, '') || ' | ' || n || ' frames | ' || coalesce(captions[1], '')"
+def built_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes from the frames that the picture index has; every 37th frame is given its segment as text, so that there are cards."""
+    i = table(spark, d, "image_index").where("frame_ids is not null and size(embeddings) = 64 and not exists(embeddings, x -> x is null or isnan(x)) and exists(embeddings, x -> x <> 0)")
+    i = i.groupBy(F.col("frame_ids").alias("frame_id")).agg(unit(F.max("embeddings")).alias("v"))
+    f = frames(spark, d, "video_id", "timestamp_sec", "ocr_text", "caption", "face_ids", "story_segment").where("timestamp_sec is not null")
+    f = f.withColumn("ocr_text", F.when(F.col("frame_id") % 37 == 0, F.col("story_segment")).otherwise(F.col("ocr_text")))
+    return S.build_scenes(f.join(i, "frame_id"), "video_id", "frame_id", "timestamp_sec", "v", "ocr_text", "caption", "face_ids", threshold=0.3, min_sec=20.0)
+
+
+_TRIM = "trim(coalesce({c}, ''), e' \\t\\n\\r')"
+_BUILT = rf"""i as (select frame_ids frame_id, max(embeddings) e from image_index where frame_ids is not null and len(embeddings) = 64 and not list_bool_or(list_transform(embeddings, lambda x: x is null or isnan(x))) and list_bool_or(list_transform(embeddings, lambda x: x <> 0)) group by 1),
+n as (select f.video_id, f.frame_id o, timestamp_sec t, case when f.frame_id % 37 = 0 then story_segment else ocr_text end ocr, caption, face_ids, list_transform(e, lambda x: cast(x as double) / (sqrt(list_dot_product(cast(e as double[]), cast(e as double[]))) + 1e-9)) v from frames f join i using (frame_id) where timestamp_sec is not null and video_id is not null),
+a as materialized (select *, regexp_matches({_TRIM.format(c='ocr')}, '^[A-Z][A-Za-z& ]{{2,28}}\s+Line\s*$') or contains(lower({_TRIM.format(c='caption')}), 'black background') or starts_with(lower({_TRIM.format(c='caption')}), 'a title card that reads') card from n),
+l as (select *, list_dot_product(v, lag(v) over w) sim, lag(card) over w was, row_number() over w r from a window w as (partition by video_id order by o)),
+k as (select *, r = 1 or coalesce(sim < 0.3, false) or coalesce(card <> was, false) cut from l),
+p as materialized (select *, sum(cast(cut as int)) over (partition by video_id order by o) part from k),
+s as (select video_id, part, arg_min(t, o) b, arg_max(t, o) z, arg_min(card, o) card, first(was order by o) was from p group by 1, 2),
+m as (select *, sum(cast(part = 1 or z - b >= 20.0 or card or coalesce(was, false) as int)) over (partition by video_id order by part) - 1 scene from s),
+q as materialized (select p.*, m.scene from p join m using (video_id, part)),
+base as (select video_id, scene, arg_min(card, o) is_card, arg_min({_TRIM.format(c='ocr')}, o) filter (where regexp_matches(ocr, '^[A-Z][A-Za-z& ]{{2,28}}\s+Line\s*$')) named, arg_min(t, o) start_sec, arg_max(t, o) end_sec, count(*) n_frames, min(o) start_frame, max(o) end_frame from q group by 1, 2),
+ch as (select *, greatest(0, sum(cast(is_card as int)) over w - 1) chapter_index, coalesce(last_value(case when is_card then coalesce(named, 'Introduction') end ignore nulls) over w, 'Introduction') chapter_label from base window w as (partition by video_id order by scene)),
+dims as (select video_id, scene, j, avg(v[j]) x from (select video_id, scene, v, unnest(range(1, 65)) j from q) group by 1, 2, 3),
+mean as materialized (select video_id, scene, list(x order by j) u from dims group by 1, 2),
+kf as (select video_id, scene, arg_max(o, (round(list_dot_product(v, u) / (sqrt(list_dot_product(u, u)) + 1e-12), 9), -o)) keyframe from q join mean using (video_id, scene) group by 1, 2),
+fa as (select video_id, scene, list_sort(list(distinct p)) face_ids from (select video_id, scene, unnest(face_ids) p from q) where p is not null group by 1, 2),
+cc as (select video_id, scene, {_TRIM.format(c='caption')} x, count(*) c, min(o) f from q where {_TRIM.format(c='caption')} <> '' group by 1, 2, 3),
+ca as (select video_id, scene, list(x order by c desc, f)[1:5] captions from cc group by 1, 2),
+sg as (select video_id, scene, {_TRIM.format(c='ocr')} x, count(*) c, min(o) f from q where {_TRIM.format(c='ocr')} <> '' group by 1, 2, 3),
+sw as (select *, string_split_regex(x, '\s+') ws, length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) letters, length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) capitals from sg),
+si as (select video_id, scene, list(x order by c desc, f)[1:5] signs from sw where length(x) >= 4 and letters > 0
+  and not list_bool_or(list_transform(ws, lambda w: lower(trim(w, '.,:;''"')) in ('experian','credit','score','free','forever','find','now','massage','massages','ticket','holders','only','awesome')))
+  and ((capitals / letters >= 0.8 and list_bool_or(list_transform(ws, lambda w: length(w) >= 4))) or (len(ws) >= 2 and list_bool_and(list_transform(ws, lambda w: regexp_matches(w, '^\p{{L}}{{5,}}$'))))) group by 1, 2),
+built as materialized (select video_id, scene, cast(chapter_index as int) chapter_index, chapter_label, is_card, start_sec, end_sec, n_frames, start_frame, end_frame, keyframe, coalesce(face_ids, []) face_ids, case when is_card then [chapter_label] else coalesce(signs, []) end ocr_texts, coalesce(captions[1], '') caption, coalesce(captions, []) captions
+  from ch left join kf using (video_id, scene) left join fa using (video_id, scene) left join si using (video_id, scene) left join ca using (video_id, scene))"""
+
+
+@register(with_sql(FRAMES, _BUILT) + "select * from built")
+def scene_build(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes from frames: cuts, chapters, keyframes, faces, signage and captions."""
+    return built_scenes(spark, d)
+
+
+_MMSS = "cast(cast({c} as bigint) // 60 as varchar) || ':' || lpad(cast(cast({c} as bigint) % 60 as varchar), 2, '0')"
+_START, _END = _MMSS.format(c="floor(start_sec)"), _MMSS.format(c="floor(end_sec)")
+_ENTRY = f"""e as (select video_id, scene, end_sec, case when is_card then '[' || {_START} || '-' || {_END} || '] TITLE CARD: "' || chapter_label || '"' else '[' || {_START} || '-' || {_END} || '] scene ' || cast(scene as bigint) || ' (' || chapter_label || ', ' || n_frames || 's)' || chr(10) || '  visual: ' || coalesce(descr, caption)
+  || case when len(ocr_texts) > 0 then chr(10) || '  on-screen text: ' || array_to_string(ocr_texts, '; ') else '' end || chr(10) || '  recurring faces present: ' || case when len(face_ids) > 0 then array_to_string(face_ids, ', ') else 'none' end end line
+  from built left join (select frame_id, event_description descr from frames) on frame_id = keyframe),
+dg as (select video_id, string_agg(line, chr(10) order by scene) digest, count(*) n_scenes, max(end_sec) z from e group by 1)"""
+
+
+def _digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digests in which the description of a scene's keyframe, where there is one, takes the place of its caption."""
+    s = cut(built_scenes(spark, d))
+    about = frames(spark, d, "event_description").select(F.col("frame_id").alias("keyframe"), F.col("event_description").alias("description"))
+    return S.digests(s, "video_id", s.join(about, "keyframe")).join(s.groupBy("video_id").agg(F.max("end_sec").alias("end_sec")), "video_id")
+
+
+@register(with_sql(FRAMES, _BUILT, _ENTRY) + "select video_id, digest, n_scenes from dg")
+def scene_digest(spark: SparkSession, d: str) -> DataFrame:
+    """A video's scenes as text in order: cards, what is seen and read, who is there."""
+    return _digests(spark, d).select("video_id", "digest", "n_scenes")
 
 
-@register(with_sql(FRAMES, _SCENES) + f"select video_id, string_agg({_LINE}, chr(10) order by scene_index) as digest from b left join k using (video_id, scene_index) group by 1")
-def scene_digest(spark: SparkSession, d: str) -> DataFrame:
-    """A video's scenes as lines of text in order."""
-    line = F.concat(F.lit("["), minutes_seconds("start_sec"), F.lit("] "), X.filled("chapter"), F.lit(" | "), F.col("n").cast("string"), F.lit(" frames | "), F.coalesce(F.get("captions", F.lit(0)), F.lit("")))
-    s = scenes(spark, d).select("video_id", "scene_index", line.alias("line"))
-    return s.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scene_index", "line"))), lambda x: x["line"]), "\n").alias("digest"))
+_QUOTED = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_ASKED = " union all ".join(f"select video_id, '{k}' as kind, {_QUOTED(a)} || digest || {_QUOTED(b)}{' || ' + _MMSS.format(c='floor(z)') + chr(32) + '|| ' + _QUOTED('.') if k == 'timeline' else ''} as prompt from dg" for k, (a, b) in {**S.STRATEGIES, "summary": S.SUMMARY, "timeline": S.TIMELINE}.items())
 
 
-@register(with_sql("q as (select request_id, any_value(video_id) v from llm_cache where video_id is not null group by 1)") + "select request_id, s as strategy, format('{}: tell what happens in {}.', s, v) as prompt from q, (values ('zero_shot'), ('few_shot'), ('chain_of_thought'), ('structured_role')) t(s)")
+@register(with_sql(FRAMES, _BUILT, _ENTRY) + _ASKED)
 def prompt_strategies(spark: SparkSession, d: str) -> DataFrame:
-    """A prompt per request and strategy from templates."""
-    q = table(spark, d, "llm_cache").where("video_id is not null").select("request_id", "video_id").dropDuplicates(["request_id"])
-    s = F.explode(F.array(*[F.lit(x) for x in ("zero_shot", "few_shot", "chain_of_thought", "structured_role")]))
-    return q.withColumn("strategy", s).select("request_id", "strategy", F.format_string("%s: tell what happens in %s.", "strategy", "video_id").alias("prompt"))
+    """The prompts of each video: a story in four ways, a summary, a timeline."""
+    return S.prompts(_digests(spark, d), "video_id", "end_sec")
 
 
 @register("select distinct request_id, trim(regexp_replace('<thinking>' || request_id || '</thinking> ' || response, '^.*</thinking>', '', 's'), e' \\t\\n\\r\\x0b\\x0c') as reply from llm_cache where response is not null")
