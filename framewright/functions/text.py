@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -98,6 +99,17 @@ def cited_seconds(c) -> Column:
     return F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2), lambda m, s: m.cast("int") * 60 + s.cast("int"))
 
 
+def without_blank_lines(c) -> Column:
+    """Runs of blank lines as one, and no blanks at the ends of lines or of the text."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(filled(c), r"[ \t]+(?=\r?\n|$)", ""), r"(?:\r?\n){3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def without_prefix(c, *prefixes: str) -> Column:
+    """The stripped text without the first of the prefixes that it begins with, whatever their case."""
+    pattern = "|".join(re.escape(p) for p in prefixes)
+    return F.regexp_replace(stripped(c), rf"(?i)^(?:{pattern})\s*", "")
+
+
 def split_sentences(c) -> Column:
     """Sentences, cut at blanks after . ! or ?"""
     return F.split(filled(c), r"(?<=[.!?])\s+")
@@ -129,10 +141,10 @@ def keep_token(word, confidence, min_confidence: float = 60, min_len: int = 3) -
 def collapse_repetition(text: str, most: int = 4) -> str:
     """Python: the text cut back to the last sentence before the first run of more than ``most`` equal words."""
     words = text.split()
-    plain = [w.lower().strip(".,!?;:\"'()") for w in words]
+    plain = [w.lower().strip(".,!?") for w in words]
     run = 1
     for i in range(1, len(words)):
-        run = run + 1 if plain[i] == plain[i - 1] and plain[i] else 1
+        run = run + 1 if plain[i] == plain[i - 1] else 1
         if run > most:
             kept = " ".join(words[: i - run + 1])
             cut = max(kept.rfind(x) for x in ".!?")

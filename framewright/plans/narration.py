@@ -136,17 +136,43 @@ def story_sections(spark: SparkSession, d: str) -> DataFrame:
     return s.join(n, ["doc_id", "label"]).select("doc_id", "label", "n_lines")
 
 
-@register()
+_ARRAYS = r"""r as (select request_id, any_value(response) r, any_value(prompt) p, any_value(video_id) v from (select * from llm_cache order by response) where request_id is not null and response is not null group by 1),
+j as (select request_id, v, case when json_valid(regexp_extract(r, '\[.*\]', 0, 's')) then from_json(regexp_extract(r, '\[.*\]', 0, 's'), '["json"]') end a from r),
+it as (select request_id, unnest(range(len(a))) pos, unnest(a) x from j where a is not null),
+ev as (select request_id, pos, json_type(x) = 'OBJECT' obj, coalesce(x ->> '$.timestamp', '') tm, trim(coalesce(x ->> '$.description', ''), e' \t\n\r') txt from it),
+se as (select *, case when regexp_matches(tm, '^\s*\d{1,2}:[0-5]\d\s*$') then cast(split_part(trim(tm), ':', 1) as int) * 60 + cast(split_part(trim(tm), ':', 2) as int) end sec from ev)"""
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "llm_cache").where("request_id is not null and response is not null").groupBy("request_id").agg(F.min("response").alias("response"), F.min("prompt").alias("prompt"), F.min("video_id").alias("video_id"))
+
+
+@register(with_sql(_ARRAYS) + "select request_id, tm as \"timestamp\", sec, txt as description from se where obj and sec <= 3600 and txt <> ''")
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     """Usable events of the JSON replies, fenced or not, with their times in seconds."""
-    r = table(spark, d, "llm_cache").where("response is not null").select("request_id", "response").dropDuplicates(["request_id"])
-    return T.timeline_events(r, "request_id", "response", 3600.0)
+    return T.timeline_events(_replies(spark, d), "request_id", "response", 3600.0)
+
+
+_CHECKED = """pr as (select *, case when not obj then 'not an object: ' || '?' when sec is null then 'unparseable timestamp: ' || tm when sec > 600 then 'timestamp out of range: ' || tm when txt = '' then 'empty description at ' || tm end p from se),
+gr as (select request_id, list({'sec': sec, 'timestamp': (sec // 60) || ':' || lpad(cast(sec % 60 as varchar), 2, '0'), 'description': txt} order by sec, pos) filter (where p is null) ev, list(sec order by pos) filter (where p is null) secs, list(p order by pos) filter (where p is not null) bad from pr group by 1)"""
+
 
+@register(with_sql(_ARRAYS, _CHECKED) + "select request_id, len(coalesce(ev, [])) as n_events, ev[1].timestamp as first, ev[-1].timestamp as last, list_concat(coalesce(bad, []), case when coalesce(secs <> list_sort(secs), false) then ['events were not in order of time (sorted)'] else [] end) as problems from gr")
+def timeline_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Timelines sorted and cut to ten minutes, with what was wrong with each."""
+    t = T.timeline_checked(_replies(spark, d), "request_id", "response", 600.0)
+    return t.select("request_id", F.size("events").alias("n_events"), F.get("events", F.lit(0))["timestamp"].alias("first"), F.when(F.size("events") > 0, F.element_at("events", -1)["timestamp"]).alias("last"), "problems")
 
-@register()
+
+_BACK = """ok as (select request_id, sec, txt description from se where obj and sec <= 3600 and txt <> ''),
+w as (select request_id, v, (select count(*) from ok where ok.request_id = r.request_id) n from r where contains(p, 'JSON array') and v is not null),
+few as (select w.request_id, v from w join (select video_id, count(*) n_scenes from b group by 1) s on s.video_id = w.v where w.n < n_scenes // 3)"""
+
+
+@register(with_sql(FRAMES, _SCENES, _ARRAYS, _BACK) + "select request_id, sec, description from ok where request_id not in (select request_id from few) and request_id in (select request_id from w) union all select request_id, cast(floor(start_sec) as int), chapter from few join b on b.video_id = few.v")
 def timeline_or_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Events of a request's reply, or the scenes of its video where fewer than a third as many events are usable."""
-    r = table(spark, d, "llm_cache").where("video_id is not null and contains(prompt, 'JSON array')").select("request_id", "video_id", "response").dropDuplicates(["request_id"])
+    r = _replies(spark, d).where("video_id is not null and contains(prompt, 'JSON array')")
     e = T.timeline_events(r, "request_id", "response", 3600.0)
     n = e.groupBy("request_id").agg(F.count("*").alias("n_events"))
     s = scenes(spark, d)
@@ -156,21 +182,29 @@ def timeline_or_scenes(spark: SparkSession, d: str) -> DataFrame:
     return e.join(few, "request_id", "left_anti").select("request_id", "sec", "description").unionByName(back)
 
 
-@register()
+_GROUND = rf"""ln as (select request_id, p, unnest(range(len(string_split_regex(r, '\r?\n')))) pos, unnest(string_split_regex(r, '\r?\n')) line from r),
+lw as (select *, trim(line, e' \t\n\r') = '' or starts_with(trim(line, e' \t\n\r'), '#') whole from ln),
+ss as (select request_id, p, pos, whole, unnest(case when whole then [line] else string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) end) s, unnest(range(len(case when whole then [line] else string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) end))) nr from lw),
+sw as (select *, list_filter(list_distinct(regexp_extract_all(lower(s), '[a-z]+')), lambda w: length(w) >= 4 and w not in ({{stop}})) c, list_filter(list_distinct(regexp_extract_all(lower(coalesce(p, '')), '[a-z]+')), lambda w: w not in ({{stop}})) q from ss),
+sk as (select *, whole or len(c) < 4 or len(list_intersect(c, q)) / len(c) >= 0.05 keep from sw),
+sl as (select request_id, pos, string_agg(s, ' ' order by nr) filter (where keep) line, count_if(keep) n, count_if(not keep) lost from sk group by 1, 2)"""
+
+
+@register(with_sql(_ARRAYS, _GROUND.format(stop=", ".join(f"'{w}'" for w in X.STOP_WORDS))) + "select request_id, coalesce(string_agg(line, chr(10) order by pos) filter (where n > 0), '') as text, cast(sum(lost) as bigint) as dropped from sl group by 1")
 def grounded_replies(spark: SparkSession, d: str) -> DataFrame:
     """Replies without the sentences that their prompts don't support."""
-    r = table(spark, d, "llm_cache").where("response is not null").select("request_id", "prompt", "response").dropDuplicates(["request_id"])
-    return T.grounded_text(r, "request_id", "response", "prompt", 0.05)
+    return T.grounded_text(_replies(spark, d), "request_id", "response", "prompt", 0.05)
+
+
+_NUMBERED = r"""'"timestamp": "(\d+):(\d+)"', '"scene_index": \1\2'"""
 
 
-@register("""with j as (select request_id, unnest(from_json(response, '["json"]')) x from (select request_id, any_value(response) response from llm_cache group by 1) where json_valid(response) and starts_with(response, '['))
-select request_id, x ->> '$.timestamp' as key, max(x ->> '$.description') as description from j where coalesce(x ->> '$.description', '') <> '' and x ->> '$.timestamp' is not null group by 1, 2""")
+@register(with_sql(_ARRAYS.replace("any_value(response) r", f"regexp_replace(any_value(response), {_NUMBERED}, 'g') r"), "bi as (select request_id, pos, cast(x ->> '$.scene_index' as int) i, trim(coalesce(x ->> '$.description', ''), e' \\t\\n\\r') t from it where json_type(x) = 'OBJECT' and x ->> '$.scene_index' is not null)") + "select request_id, i as scene_index, arg_max(t, pos) as description from bi where t <> '' and i % 2 = 0 group by 1, 2")
 def batch_reply(spark: SparkSession, d: str) -> DataFrame:
-    """Items of plain JSON replies that have a key and a description; of repeated keys one."""
-    r = table(spark, d, "llm_cache").where("startswith(response, '[')").select("request_id", "response").dropDuplicates(["request_id"])
-    a = r.select("request_id", F.from_json("response", "array<struct<timestamp:string,description:string>>").alias("a")).select("request_id", F.explode("a").alias("x"))
-    ok = a.where("coalesce(x.description, '') <> '' and x.timestamp is not null")
-    return ok.groupBy("request_id", F.col("x.timestamp").alias("key")).agg(F.max("x.description").alias("description"))
+    """Items of batch replies by their index, of those asked for (here the even ones); times stand for the indices."""
+    r = _replies(spark, d).withColumn("response", F.regexp_replace("response", r'"timestamp": "(\d+):(\d+)"', '"scene_index": $1$2'))
+    asked = r.select("request_id", F.explode(F.expr("sequence(0, 9998, 2)")).alias("scene_index"))
+    return T.batch_items(r, "request_id", "response", asked)
 
 
 @register(with_sql(FRAMES, _SCENES, "r as (select video_id, scene_index, row_number() over (partition by video_id order by scene_index) - 1 r from b)") + "select video_id, cast(floor(r / 6) as bigint) as batch, list(scene_index order by scene_index) as scenes from r group by 1, 2")
