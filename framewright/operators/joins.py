@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions.numeric import iou
+from framewright.operators.tables import numbered
+
 
 def range_join(points: DataFrame, intervals: DataFrame, by: str, point: str, start: str, end: str, width: float, closed: bool = True) -> DataFrame:
     """All pairs of a point and an interval of the same ``by`` that holds it; columns of both.
@@ -50,3 +53,20 @@ def as_of(rows: DataFrame, events: DataFrame, by: str, time: str, tie: str, valu
     carried = buckets.select("__by", "__b", F.last("__v", ignorenulls=True).over(before).alias("__before"))
     out = local.where("__side = 1").join(carried, ["__by", "__b"], "left")
     return out.select("__row.*", F.coalesce("__found", "__before").alias(value))
+
+
+def adopt_tracks(detections: DataFrame, key: str, frame: str, track: str, box: tuple[str, str, str, str], least: float = 0.5) -> DataFrame:
+    """(key, track): every detection with a track of its own.
+
+    One without adopts the track of the tracked detection in the next frame whose box overlaps most, from ``least`` on; of equal overlaps
+    the one with the larger key. One that finds none is a track of its own, named s and its number in the order of keys from 0. Keys
+    are unique; rows with a null key count for nothing, a null frame or box finds none.
+    """
+    rows = detections.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(frame).alias("f"), F.col(track).alias("t"), F.struct(*[F.col(c).alias(n) for c, n in zip(box, ("x1", "y1", "x2", "y2"))]).alias("b"))
+    lost, found = rows.where("t is null"), rows.where("t is not null")
+    nxt = found.select((F.col("f") - 1).alias("f"), F.col("k").alias("other"), F.col("t").alias("next"), F.col("b").alias("c"))
+    corners = lambda b: tuple(F.col(f"{b}.{x}") for x in ("x1", "y1", "x2", "y2"))
+    pairs = lost.join(nxt, "f").withColumn("iou", iou(corners("b"), corners("c"))).where(F.col("iou") >= least)
+    adopted = pairs.groupBy("k").agg(F.max_by("next", F.struct("iou", "other")).alias("t"))
+    alone = numbered(lost.select("k").join(adopted, "k", "left_anti"), [F.col("k")], "n").select("k", F.concat(F.lit("s"), (F.col("n") - 1).cast("string")).alias("t"))
+    return found.select("k", "t").unionByName(adopted).unionByName(alone).select(F.col("k").alias(key), F.col("t").alias(track))

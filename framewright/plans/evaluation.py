@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
@@ -10,7 +10,11 @@ from framewright.functions import text as X
 from framewright.operators.joins import range_join
 from framewright.operators.tables import one_row
 from framewright.operators.vectors import cluster_distances, farthest_within
+from framewright.plans.aggregates import SQL as AGG_SQL
+from framewright.plans.aggregates import likert, text_confusion
 from framewright.plans.base import DETECTIONS, FRAMES, TRACKS, Registry, detections, frames, tracks, with_sql
+from framewright.plans.retrieval import SQL as RET_SQL
+from framewright.plans.retrieval import precision_at_k
 from framewright.sources.tables import table
 
 register = Registry()
@@ -148,25 +152,101 @@ def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
     return g.select("event_type", F.round("w.lo", 6).alias("lo"), F.round("w.hi", 6).alias("hi"))
 
 
-_RULES = [("fragmentation", ">", 1.5, "high", "identities are split"), ("coverage", "<", 0.95, "medium", "frames lack text"), ("face_share", "<", 0.8, "medium", "frames lack faces"), ("event_share", "<", 0.6, "high", "events are missing")]
+_METRICS = ("clusters_per_person", "pair_precision", "pair_recall", "apart_precision", "face_px", "text_precision", "text_recall", "text_f1", "captions_good", "precision_at_k", "grounding", "network_share", "slowest_share")
+_SHARES = "st as (select event_type stage, round(sum(value), 3) as seconds, event_type in ('error', 'purchase') network from events group by 1)"
+_QUALITY = f"""m1 as ({SQL['fragmentation']}), m2 as ({SQL['pairwise_scores']}), m3 as ({SQL['cannot_link_precision']}), m4 as ({AGG_SQL['text_confusion']}), m5 as ({AGG_SQL['likert']}), m6 as ({RET_SQL['precision_at_k']}), m7 as ({SQL['story_scores']}), {_SHARES}, {DETECTIONS},
+metrics as (select 'clusters_per_person' metric, mean v from m1 union all select 'pair_precision', precision from m2 union all select 'pair_recall', recall from m2 union all select 'apart_precision', precision from m3
+ union all select 'face_px', cast(median(least(x2 - x1, y2 - y1)) as double) from det union all select 'text_precision', precision from m4 union all select 'text_recall', recall from m4 union all select 'text_f1', f1 from m4
+ union all select 'captions_good', round(avg(share_good), 6) from m5 union all select 'precision_at_k', round(avg(precision), 6) from m6 union all select 'grounding', round(avg(grounding), 6) from m7
+ union all select 'network_share', round(sum(seconds) filter (where network) / sum(seconds), 6) from st union all select 'slowest_share', round(max(seconds) filter (where not network) / sum(seconds) filter (where not network), 6) from st)"""
+
+
+def quality_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """(metric, value): the figures of every evaluation in one long table, one row each; each comes from its own query."""
+    det = detections(spark, d).agg(F.median(F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("face_px"))
+    st = table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum("value"), 3).alias("seconds")).withColumn("network", F.col("event_type").isin("error", "purchase"))
+    net, own = F.when(F.col("network"), F.col("seconds")), F.when(~F.col("network"), F.col("seconds"))
+    rows = one_row(
+        fragmentation(spark, d).select(F.col("mean").alias("clusters_per_person")),
+        pairwise_scores(spark, d).select(F.col("precision").alias("pair_precision"), F.col("recall").alias("pair_recall")),
+        cannot_link_precision(spark, d).select(F.col("precision").alias("apart_precision")), det,
+        text_confusion(spark, d).select(F.col("precision").alias("text_precision"), F.col("recall").alias("text_recall"), F.col("f1").alias("text_f1")),
+        likert(spark, d).agg(F.round(F.avg("share_good"), 6).alias("captions_good")), precision_at_k(spark, d).agg(F.round(F.avg("precision"), 6).alias("precision_at_k")),
+        story_scores(spark, d).agg(F.round(F.avg("grounding"), 6).alias("grounding")),
+        st.agg(F.round(F.sum(net) / F.sum("seconds"), 6).alias("network_share"), F.round(F.max(own) / F.sum(own), 6).alias("slowest_share")),
+    )
+    return rows.select(*[F.col(m).cast("double") for m in _METRICS]).unpivot([], list(_METRICS), "metric", "value")
+
+
+@register(with_sql(_QUALITY) + "select metric, round(v, 6) as value from metrics")
+def system_report(spark: SparkSession, d: str) -> DataFrame:
+    """All figures of quality and cost by name."""
+    return quality_metrics(spark, d).select("metric", F.round("value", 6).alias("value"))
+
+
+#: Which figure, beyond which bound, is a finding of which area and weight. A bound of none holds for every figure that exists.
+_RULES = [
+    ("clusters_per_person", ">", 1.5, "identity grouping", "high"), ("face_px", "<", 64.0, "source resolution", "medium"), ("text_recall", "<", 0.95, "text recognition", "medium"), ("captions_good", "<", 0.8, "captioning", "medium"),
+    ("precision_at_k", "<", 0.9, "semantic search", "medium"), ("precision_at_k", ">=", 0.9, "semantic search", "info"), ("grounding", "<", 0.6, "narration grounding", "high"), ("network_share", ">", 0.2, "cost profile", "medium"), ("slowest_share", ">", 0.0, "local compute", "info"),
+]
+#: Findings that no figure decides.
+_STANDING = [("scope", "info"), ("generalization", "info")]
+_FIRES = " or ".join(f"(metric = '{m}' and v {o} {t} and area = '{a}' and severity = '{w}')" for m, o, t, a, w in _RULES)
+_RULE_ROWS = ", ".join(f"('{m}', '{a}', '{w}')" for m, _, _, a, w in _RULES)
 
 
-@register(with_sql(FRAMES, "m as (select 'coverage' k, avg(cast(coalesce(ocr_text, '') <> '' as int)) v from frames union all select 'face_share', avg(cast(len(face_ids) > 0 as int)) from frames union all select 'event_share', avg(cast(event_description is not null as int)) from frames union all select 'fragmentation', 1.2)")
-    + "select k as metric, round(v, 6) as value, case k when 'event_share' then 'high' when 'fragmentation' then 'high' else 'medium' end as severity from m where (k = 'coverage' and v < 0.95) or (k = 'face_share' and v < 0.8) or (k = 'event_share' and v < 0.6) or (k = 'fragmentation' and v > 1.5)")
+@register(with_sql(_QUALITY) + f"select area, severity, metric, round(v, 6) as value from metrics join (values {_RULE_ROWS}) r(metric, area, severity) using (metric) where {_FIRES} union all select 'grouping precision', 'info', 'apart_precision', round(c.v, 6) from metrics c, metrics p where c.metric = 'apart_precision' and c.v >= 0.98 and p.metric = 'pair_precision' and p.v > 0 and p.v < 0.9 union all select area, severity, null, null from (values ('scope', 'info'), ('generalization', 'info')) s(area, severity)")
 def derived_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings: metric rows against a table of rules."""
-    m = frames(spark, d, "ocr_text", "face_ids", "event_description").agg(
-        F.avg(F.expr("cast(coalesce(ocr_text, '') <> '' as int)")).alias("coverage"), F.avg(F.expr("cast(size(face_ids) > 0 as int)")).alias("face_share"), F.avg(F.expr("cast(event_description is not null as int)")).alias("event_share"), F.lit(1.2).alias("fragmentation")
-    )
-    long = m.unpivot([], ["coverage", "face_share", "event_share", "fragmentation"], "metric", "value")
-    rules = spark.createDataFrame(_RULES, "metric string, op string, threshold double, severity string, text string")
-    fires = F.expr("(op = '>' and value > threshold) or (op = '<' and value < threshold)")
-    return long.join(F.broadcast(rules), "metric").where(fires).select("metric", F.round("value", 6).alias("value"), "severity")
+    """Findings: every figure against a table of rules, one rule on two figures, and the standing limits.
+
+    The two-figure rule is met where people seen together are kept apart (here from 98 %) although pairs are wrong otherwise.
+    """
+    m = quality_metrics(spark, d)
+    rules = spark.createDataFrame(_RULES, "metric string, op string, bound double, area string, severity string")
+    fires = F.expr("(op = '>' and value > bound) or (op = '<' and value < bound) or (op = '>=' and value >= bound)")
+    found = m.join(F.broadcast(rules), "metric").where(fires).select("area", "severity", "metric", F.round("value", 6).alias("value"))
+    two = m.where("metric in ('apart_precision', 'pair_precision')").groupBy().pivot("metric", ["apart_precision", "pair_precision"]).agg(F.max("value"))
+    two = two.where("apart_precision >= 0.98 and pair_precision > 0 and pair_precision < 0.9").select(F.lit("grouping precision").alias("area"), F.lit("info").alias("severity"), F.lit("apart_precision").alias("metric"), F.round("apart_precision", 6).alias("value"))
+    standing = spark.createDataFrame(_STANDING, "area string, severity string").select("area", "severity", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))
+    return found.unionByName(two).unionByName(standing)
+
+
+#: Which sources each report is made from.
+_SOURCES = {"ocr": ("caption", "note"), "scene": ("caption", "ocr", "speech"), "story": ("scene", "timeline"), "timeline": ("scene",)}
+_MADE = ", ".join(f"('{r}', '{x}')" for r, xs in _SOURCES.items() for x in xs)
 
 
-@register("select source, max(created_at) as newest, max(created_at) < (select max(created_at) from documents) - interval 1 day as stale from documents group by 1")
+@register(f"with t as (select source, max(created_at) tm from documents group by 1), m as (select * from (values {_MADE}) v(report, source)) select m.report, list(m.source order by m.source) as newer from m join t r on r.source = m.report join t s on s.source = m.source where s.tm > r.tm + interval 1 second group by 1")
 def staleness(spark: SparkSession, d: str) -> DataFrame:
-    """Which source is older than the newest by more than a day."""
-    per = table(spark, d, "documents").groupBy("source").agg(F.max("created_at").alias("newest"))
-    top = F.max("newest").over(Window.partitionBy())  # over one row per source
-    return per.withColumn("top", top).select("source", "newest", F.expr("newest < top - interval 1 day").alias("stale"))
+    """Reports that are older than something they are made from by more than a second, with what is newer."""
+    made = spark.createDataFrame([(r, x) for r, xs in _SOURCES.items() for x in xs], "report string, source string")
+    return stale_reports(table(spark, d, "documents").groupBy("source").agg(F.max("created_at").alias("at")), made)
+
+
+def stale_reports(times: DataFrame, made: DataFrame) -> DataFrame:
+    """(report, newer ARRAY<STRING>): times: (source, at) of reports and sources, made: (report, source). What has no time is left out."""
+    of = lambda name, at: F.broadcast(times.select(F.col("source").alias(name), F.col("at").alias(at)))
+    late = made.join(of("report", "__r"), "report").join(of("source", "__s"), "source").where("__s > __r + interval 1 second")
+    return late.groupBy("report").agg(F.array_sort(F.collect_set("source")).alias("newer"))
+
+
+_GRAMS = "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+
+
+@register(with_sql("l as (select distinct lower(story_segment) s from frame_metadata where story_segment is not null)", f"t as (select doc_id, coalesce(text, '') x, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') w, list_transform(regexp_extract_all(coalesce(text, ''), '\\b(\\d{{1,2}}:[0-5]\\d)\\b', 1), lambda x: cast(split_part(x, ':', 1) as int) * 60 + cast(split_part(x, ':', 2) as int)) s, {_CW('text')} c from documents where source in ('story', 'timeline'))", "r as (select video_id, string_agg(coalesce(caption, ''), ' ' order by frame_id) ref from (select distinct on (frame_id) frame_id, video_id, caption from frame_metadata where frame_id is not null order by frame_id, caption) where video_id is not null group by 1)", f"q as (select video_id, list_distinct(regexp_extract_all(lower(ref), '[a-z]+')) q from r)")
+    + f"""select doc_id, len(regexp_extract_all(x, '\\S+')) as words, len(s) as times, coalesce(round(len(list_filter(range(1, len(s)), lambda i: s[i] <= s[i + 1])) / nullif(greatest(0, len(s) - 1), 0), 6), 1.0) as chronology,
+  round((select avg(cast(contains(lower(x), l.s) as int)) from l), 6) as coverage, case when len(w) < 3 then 0 else round(len(list_distinct({_GRAMS})) / (len(w) - 2), 6) end as distinct_3, case when len(c) = 0 then 0 else round(len(list_intersect(c, q)) / len(c), 6) end as grounding
+from t join (select doc_id, video_id from documents) using (doc_id) join q using (video_id)""")
+def story_report(spark: SparkSession, d: str) -> DataFrame:
+    """All figures of a story in one row: words, cited times, their order, chapters named, distinct three-word windows, grounding in its video's captions."""
+    labels = table(spark, d, "frame_metadata").where("story_segment is not null").agg(F.collect_set(F.lower("story_segment")).alias("labels"))
+    ref = frames(spark, d, "video_id", "caption").where("video_id is not null").select("video_id", F.explode(X.content_words("caption", 1)).alias("w")).groupBy("video_id").agg(F.collect_set("w").alias("q"))
+    t = table(spark, d, "documents").where("source in ('story', 'timeline')").select("doc_id", "video_id", X.filled("text").alias("x")).join(ref, "video_id").crossJoin(F.broadcast(labels))
+    t = t.withColumn("w", X.word_list("x")).withColumn("s", X.cited_seconds("x")).withColumn("c", X.content_words("x"))
+    rising = F.expr("size(filter(sequence(1, greatest(1, size(s) - 1)), i -> size(s) > 1 and s[i - 1] <= s[i]))")
+    grams = F.expr("transform(sequence(0, size(w) - 3), i -> concat_ws(' ', slice(w, i + 1, 3)))")
+    return t.select(
+        "doc_id", F.regexp_count("x", F.lit(r"\S+")).alias("words"), F.size("s").alias("times"), F.coalesce(F.round(N.ratio(rising, F.expr("greatest(0, size(s) - 1)")), 6), F.lit(1.0)).alias("chronology"),
+        F.round(F.size(F.filter("labels", lambda n: F.contains(F.lower("x"), n))) / F.size("labels"), 6).alias("coverage"), F.when(F.size("w") < 3, F.lit(0.0)).otherwise(F.round(F.size(F.array_distinct(grams)) / (F.size("w") - 2), 6)).alias("distinct_3"),
+        F.when(F.size("c") == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect("c", "q")) / F.size("c"), 6)).alias("grounding"),
+    )

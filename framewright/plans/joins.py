@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import numeric as N
-from framewright.operators.joins import as_of, range_join, within
+from framewright.operators.joins import adopt_tracks, as_of, range_join, within
 from framewright.operators.search import rank_by_vector
+from framewright.operators.tables import numbered
 from framewright.operators.vectors import top_neighbors
 from framewright.plans.base import DETECTIONS, FRAMES, IDENTITIES, TRACKS, Registry, detections, frames, identities, tracks, with_sql
 from framewright.sources.tables import table
@@ -178,20 +179,26 @@ def disjoint_identity_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MOVED = "greatest(0.0, least(u.x2, o.x2) - greatest(u.x1, o.x1)) * greatest(0.0, least(u.y2, o.y2) - greatest(u.y1, o.y1))"
+#: The tables' detections all have tracks; those of low score stand for ones that the tracker has not confirmed.
+_TRACKED = "tr as (select *, case when det_score >= 0.5 then track_id end t from det)"
 
 
-@register(with_sql(DETECTIONS) + f"""select crop_id, t as adopted, round(v, 6) as iou from (
-  select crop_id, t, v, row_number() over (partition by crop_id order by v desc, other desc, t desc) r from (
-    select u.crop_id, o.crop_id other, o.track_id t, {_MOVED} / ((u.x2 - u.x1) * (u.y2 - u.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {_MOVED} + 1e-9) v
-    from det u join det o on o.frame_id = u.frame_id + 1 where u.frame_id % 3 = 0) where v >= 0.5) where r = 1""")
+@register(with_sql(DETECTIONS, _TRACKED, f"m as (select u.crop_id, o.crop_id other, o.t, {_MOVED} / ((u.x2 - u.x1) * (u.y2 - u.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {_MOVED} + 1e-9) v from tr u join tr o on o.frame_id = u.frame_id + 1 where u.t is null and o.t is not null)", "a as (select crop_id, arg_max(t, (v, other)) t from m where v >= 0.5 group by 1)")
+    + "select crop_id, t as track_id from tr where t is not null union all select crop_id, t from a union all select crop_id, 's' || (row_number() over (order by crop_id) - 1) from tr where t is null and crop_id not in (select crop_id from a)")
 def next_frame_match(spark: SparkSession, d: str) -> DataFrame:
-    """Detections without a track adopt the track of the detection in the next frame that overlaps most, the later one of equals."""
-    det = detections(spark, d).select("crop_id", "frame_id", "track_id", "x1", "y1", "x2", "y2")
-    u = det.where("frame_id % 3 = 0").select("crop_id", (F.col("frame_id") + 1).alias("frame_id"), *[F.col(x).alias(f"u{x}") for x in ("x1", "y1", "x2", "y2")])
-    j = u.join(det.withColumnRenamed("crop_id", "other"), "frame_id")
-    j = j.withColumn("iou", N.iou(("ux1", "uy1", "ux2", "uy2"), ("x1", "y1", "x2", "y2"))).where("iou >= 0.5")
-    best = j.groupBy("crop_id").agg(F.max_by(F.struct("track_id", "iou"), F.struct("iou", "other", "track_id")).alias("b"))
-    return best.select("crop_id", F.col("b.track_id").alias("adopted"), F.round("b.iou", 6).alias("iou"))
+    """Every detection's track: its own, the one it adopts from the next frame, or a new one."""
+    det = detections(spark, d).withColumn("track_id", F.when(F.col("det_score") >= 0.5, F.col("track_id")))
+    return adopt_tracks(det, "crop_id", "frame_id", "track_id", ("x1", "y1", "x2", "y2"))
+
+
+@register(with_sql(FRAMES) + "select row_number() over (order by frame_ids) - 1 as pos, frame_ids as frame_id, caption from (select distinct frame_ids from image_index where frame_ids is not null) join frames on frame_id = frame_ids")
+def index_order(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata in the order of the index; an index row without metadata is an error."""
+    i = table(spark, d, "image_index").where("frame_ids is not null").select(F.col("frame_ids").alias("frame_id")).distinct()
+    place = numbered(i, [F.col("frame_id")], "pos")
+    meta = frames(spark, d, "caption").select("frame_id", F.coalesce("caption", F.lit(None)).alias("caption"), F.lit(True).alias("__there"))
+    found = F.when(F.col("__there"), F.col("pos") - 1).otherwise(F.raise_error(F.concat(F.lit("no metadata for index row of frame "), F.col("frame_id").cast("string"))).cast("int"))
+    return place.join(meta, "frame_id", "left").select(found.cast("long").alias("pos"), "frame_id", "caption")
 
 
 @register("""with v as (select vec_id, label, embedding e from embeddings), q as (select * from v where vec_id % 20 = 0),

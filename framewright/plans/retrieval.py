@@ -124,6 +124,13 @@ def longest_on_screen(spark: SparkSession, d: str) -> DataFrame:
     return identities(spark, d).where("face_id is not null").groupBy("face_id").agg(F.round(F.sum("duration_sec"), 3).alias("screen_time")).orderBy(F.desc("screen_time"), "face_id").limit(30)
 
 
+@register(with_sql(FRAMES) + "select frame_id, timestamp_sec from frames where contains(lower(coalesce(ocr_text, '')), 'platform') and timestamp_sec is not null order by timestamp_sec, frame_id")
+def hits_by_time(spark: SparkSession, d: str) -> DataFrame:
+    """Hits in order of time, as the search command lists them; a sort by ranges, not in one task."""
+    f = frames(spark, d, "timestamp_sec", "ocr_text").where("timestamp_sec is not null")
+    return search_rows(f, "platform", ("ocr_text",)).select("frame_id", "timestamp_sec").orderBy("timestamp_sec", "frame_id")
+
+
 @register(with_sql(FRAMES) + "select frame_id from frames order by frame_id limit 25")
 def head_limit(spark: SparkSession, d: str) -> DataFrame:
     """The first 25 frames."""

@@ -72,6 +72,15 @@ def json_and_time(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("at"), F.round("value", 1).alias("value"))
 
 
+_TIDY = r"""trim(regexp_replace(regexp_replace(regexp_replace({c}, '[ \t]+(\r?\n)', '\1', 'g'), '[ \t]+$', ''), '(\r?\n){{3,}}', chr(10) || chr(10), 'g'), e' \t\n\r\x0b\x0c')"""
+
+
+@register("select doc_id, " + _TIDY.format(c="coalesce(text, '')") + r" as text, regexp_replace(trim(coalesce(text, ''), e' \t\n\r\x0b\x0c'), '(?i)^(?:subject:|re:|review note,)\s*', '') as body from documents")
+def tidy_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without runs of blank lines, and without the words that open a note."""
+    return table(spark, d, "documents").select("doc_id", X.without_blank_lines("text").alias("text"), X.without_prefix("text", "Subject:", "Re:", "Review note,").alias("body"))
+
+
 @register()
 def json_arrays(spark: SparkSession, d: str) -> DataFrame:
     """The first JSON array of each reply, fenced or within prose."""

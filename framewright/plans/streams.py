@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright.plans.base import Registry
 from framewright.sources.artifacts import local_path
 from framewright.streaming import events as E
+from framewright.streaming.tracker import track_boxes, track_stream
 
 register = Registry()
 QUERIES, SQL = register.queries, register.sql
@@ -57,3 +58,28 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     path = local_path(spark, "upsert")
     E.upsert_into(_stream(spark, d).select("user_id", "ts", "event_id"), f"{path}/t", ["user_id"], "ts", f"{path}/c").awaitTermination()
     return E.read_upserted(spark, f"{path}/t").select("user_id", "event_id")
+
+
+_BOX = ("x1", "y1", "x2", "y2")
+
+
+def _boxes(li: DataFrame) -> DataFrame:
+    """Boxes that drift to the right: a part is a person, five hundred orders a video."""
+    person, frame = F.col("l_partkey") % 13, F.col("l_orderkey")
+    x = person * 90 + frame % 500 * 2 + F.col("l_linenumber")
+    crop = F.format_string("f%06d_%02d", "l_orderkey", "l_linenumber").alias("crop_id")
+    return li.select(crop, F.floor(frame / 500).alias("video"), frame.alias("frame_id"), x.alias("x1"), (person * 40).alias("y1"), (x + 80).alias("x2"), (person * 40 + 70).alias("y2"), (F.lit(0.4) + F.col("l_discount") * 5).alias("score"))
+
+
+@register()
+def tracked_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of boxes by overlap from frame to frame; boxes without one yet have null."""
+    return track_boxes(_boxes(spark.read.parquet(f"{d}/lineitem.parquet")), "video", "frame_id", "crop_id", _BOX, "score")
+
+
+@register()
+def stream_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a stream, with the tracker of each video as state."""
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    li = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    return _finish(track_stream(_boxes(li), "video", "frame_id", "crop_id", _BOX, "score"), spark, "append")
