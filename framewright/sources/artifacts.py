@@ -6,6 +6,7 @@ import logging
 import os
 import uuid
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,9 +58,36 @@ def read_vectors(spark: SparkSession, path: str, key: str, vector: str) -> DataF
     return spark.read.parquet(path).select(key, vector)
 
 
-def read_pictures(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFrame:
-    """(path, length, content) of picture files; unreadable ones are left out by a filter on what is decoded later."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
+def picture_size(content: bytes | None) -> tuple[int, int] | None:
+    """Width and height of a JPEG, PNG or GIF by its own headers; None for anything else and for files that break off."""
+    b = content or b""
+    if b[:8] == b"\x89PNG\r\n\x1a\n" and b[12:16] == b"IHDR" and len(b) >= 33 and b.rstrip(b"\0")[-12:-4][-4:] == b"IEND":
+        return int.from_bytes(b[16:20], "big"), int.from_bytes(b[20:24], "big")
+    if b[:6] in (b"GIF87a", b"GIF89a") and b.rstrip(b"\0")[-1:] == b";":
+        return int.from_bytes(b[6:8], "little"), int.from_bytes(b[8:10], "little")
+    if b[:2] == b"\xff\xd8" and b.rstrip(b"\0")[-2:] == b"\xff\xd9":
+        at = 2
+        while at + 9 <= len(b) and b[at] == 0xFF:
+            mark, size = b[at + 1], int.from_bytes(b[at + 2 : at + 4], "big")
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
+            at += 2 + size
+    return None
+
+
+def read_pictures(spark: SparkSession, path: str, pattern: str = "*", unreadable: str = "drop") -> DataFrame:
+    """(path, length, width, height, content) of picture files; unreadable ones are dropped, or kept with a null size and content (``blank``)."""
+
+    @F.pandas_udf("struct<width:int,height:int>")
+    def size(content: pd.Series) -> pd.DataFrame:
+        found = [picture_size(c) for c in content]
+        return pd.DataFrame({"width": [f and f[0] for f in found], "height": [f and f[1] for f in found]}, dtype="Int32")
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).withColumn("s", size("content"))
+    ok = F.col("s.width") > 0
+    if unreadable == "drop":
+        files = files.where(ok)
+    return files.select("path", "length", "s.width", "s.height", F.when(ok, F.col("content")).alias("content"))
 
 
 def sample_stride(df: DataFrame, number: str, source_fps: float, target_fps: float) -> DataFrame:
