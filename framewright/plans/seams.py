@@ -40,7 +40,7 @@ def face_seam(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sharper():
-    return lambda b: pd.DataFrame({"crop_id": b.crop_id, "vector": [[2.0 * x for x in v] for v in b.vector]})
+    return lambda b: pd.DataFrame({"crop_id": b.crop_id, "vector": [None if v is None else [2.0 * x for x in v] for v in b.vector]})
 
 
 @register("select 'c' || vec_id as crop_id, round(cast(embedding[1] as double) * case when least(20 + vec_id % 90, 30 + vec_id % 70) < 64 then 2 else 1 end, 6) as first from embeddings")

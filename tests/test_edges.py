@@ -9,7 +9,8 @@ from tests.test_queries import CORE
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 NAMES = """p5_found occurrence_stats scene_of_frame segments_of_frame event_as_of next_frame_match nearest_labelled track_templates medoids scene_numbers group_consecutive lexical_search
 fuzzy_search semantic_search visual_search fused_search linkage appearance_linkage apply_merges worst_within_cluster silhouette cluster_scores timeline story_sections scene_digest json_arrays
-lexicon_snap collapse_repetition keyed_upsert stream_windows""".split()
+lexicon_snap collapse_repetition keyed_upsert stream_windows scene_build prompt_strategies best_shot_linkage merge_proposals derived_findings story_report next_frame_match index_order timeline_validity
+batch_reply grounded_replies tracked_boxes stream_tracks face_seam enlarged_seam text_seam embedding_seam language_seam identity_ranking neighbors_per_row""".split()
 
 
 @pytest.fixture(scope="module")
