@@ -4,9 +4,9 @@ Each interval of whole milliseconds [a, b] covers the integer cells [2a, 2b + 1)
 the open milliseconds between them, so two intervals touch exactly if their cells overlap or adjoin. The cells are cut
 at buckets of 2**BUCKET_BITS cells and the pieces at both ends are decomposed into canonical dyadic blocks, numbered as the nodes of
 a binary tree over their bucket (root 1, children 2n and 2n + 1). The whole buckets between them are the cells of the next level, which are
-cut and decomposed in the same way, so an interval of any length gives a few pieces. The blocks of an (entity, level, bucket) are gathered
-as a set that is built before the shuffle, so repeats and hot entities shrink early and an entity is spread over its buckets.
-Blocks below another block are removed, sibling pairs merge upward and neighbours coalesce. Buckets below a range of a higher level are
+cut and decomposed in the same way, so an interval of any length gives a few pieces. Blocks below another block are removed and sibling
+pairs merge upward, within each batch of rows before the shuffle, so repeats and hot entities shrink early, and again over all blocks of an
+(entity, level, bucket), so an entity is spread over its buckets; then neighbours coalesce. Buckets below a range of a higher level are
 removed, and periods that cross buckets are joined, from one row per (entity, bucket).
 """
 
@@ -25,19 +25,19 @@ BUCKET_BITS = 22
 LEVELS = 3
 
 
-def dyadic_blocks_sql(lo: str, hi: str, bits: int = BUCKET_BITS) -> str:
-    """SQL for the tree numbers of the canonical blocks of cells [lo, hi) within one bucket of 2**bits cells."""
-    a, b = f"shiftright({lo} + shiftleft(1L, l) - 1L, l)", f"shiftright({hi}, l)"
-    root = f"shiftleft(1L, {bits} - l)"
-    return (
-        f"flatten(transform(sequence(0, {bits}), l -> filter(array("
-        f"if({a} < {b} and ({a} & 1L) = 1L, {root} + {a}, null), "
-        f"if({a} < {b} and ({b} & 1L) = 1L, {root} + {b} - 1L, null)), n -> n is not null)))"
-    )
+def dyadic_blocks(lo: np.ndarray, hi: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node): the tree numbers of the canonical blocks of the cells [lo, hi) of each row, within one bucket of 2**bits cells."""
+    rows, nodes = [], []
+    for level in range(bits + 1):
+        a, b, root = (lo + (1 << level) - 1) >> level, hi >> level, 1 << (bits - level)
+        left, right = np.flatnonzero((a < b) & (a & 1 == 1)), np.flatnonzero((a < b) & (b & 1 == 1))
+        rows += [left, right]
+        nodes += [root + a[left], root + b[right] - 1]
+    return np.concatenate(rows), np.concatenate(nodes)
 
 
-def coalesce_blocks(group: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Groups, starts and ends (cells of the bucket) of the coalesced blocks, sorted by group and start."""
+def merge_blocks(group: np.ndarray, node: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(group, node) without blocks below another one, sibling pairs merged upward as far as they go."""
     span = np.int64(1) << (bits + 1)
     key = np.unique(group.astype(np.int64) * span + node)
     g, n = key // span, key % span
@@ -52,7 +52,7 @@ def coalesce_blocks(group: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.
         covered[np.flatnonzero(live)[key[at] == want]] = True
     g, n = g[~covered], n[~covered]
     depth = np.frexp(n.astype(np.float64))[1] - 1
-    groups, starts, ends = [], [], []
+    groups, nodes = [], []
     carry_g, carry_n = np.empty(0, np.int64), np.empty(0, np.int64)
     for d in range(bits, -1, -1):
         here = depth == d
@@ -64,9 +64,16 @@ def coalesce_blocks(group: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.
         pair[1:] |= left[:-1]
         carry_g, carry_n = hg[left], hn[left] >> 1
         groups.append(hg[~pair])
-        starts.append((hn[~pair] - (1 << d)) << (bits - d))
-        ends.append(starts[-1] + (1 << (bits - d)))
-    g, s, e = np.concatenate(groups), np.concatenate(starts), np.concatenate(ends)
+        nodes.append(hn[~pair])
+    return np.concatenate(groups), np.concatenate(nodes)
+
+
+def coalesce_blocks(group: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups, starts and ends (cells of the bucket) of the coalesced blocks, sorted by group and start."""
+    g, n = merge_blocks(group, node, bits)
+    depth = np.frexp(n.astype(np.float64))[1] - 1
+    s = (n - (np.int64(1) << depth)) << (bits - depth)
+    e = s + (np.int64(1) << (bits - depth))
     order = np.lexsort((s, g))
     g, s, e = g[order], s[order], e[order]
     new = np.ones(len(g), bool)
@@ -75,17 +82,37 @@ def coalesce_blocks(group: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.
     return g[new], s[new], e[last]
 
 
-def _pieces_sql(bits: int = BUCKET_BITS) -> str:
-    """SQL for the pieces (level, bucket, lo, hi) of cells [lo1, hi1): both ends of each level, the middle being the next level's."""
-    parts = []
-    for level in range(1, LEVELS + 1):
-        lo, hi = f"lo{level}", f"hi{level}"
-        piece = lambda bucket, a, b: f"named_struct('level', {level}, 'bucket', {bucket}, 'lo', {a}, 'hi', {b})"
-        first, last = f"shiftright({lo}, {bits})", f"shiftright({hi} - 1L, {bits})"
-        size = f"{1 << bits}L"
-        parts.append(f"if({lo} < {hi}, {piece(first, f'{lo} - {first} * {size}', f'least({hi} - {first} * {size}, {size})')}, null)")
-        parts.append(f"if({lo} < {hi} and {first} < {last}, {piece(last, '0L', f'{hi} - {last} * {size}')}, null)")
-    return f"filter(array({', '.join(parts)}), p -> p is not null)"
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, level, bucket, nodes) of the rows (entity, lo, hi) of each batch, the blocks of one bucket merged."""
+    size = np.int64(1) << BUCKET_BITS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("entity").dictionary_encode()
+        code, lo, hi = names.indices.to_numpy(), batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
+        pieces = []
+        for level in range(1, LEVELS + 1):
+            # Both ends of a range lie in buckets of this level; the whole buckets between them are the range of the next one.
+            first, last = lo >> BUCKET_BITS, (hi - 1) >> BUCKET_BITS
+            pieces.append((code, np.full(len(code), level), first, lo - first * size, np.minimum(hi - first * size, size)))
+            far = np.flatnonzero(last > first)
+            pieces.append((code[far], np.full(len(far), level), last[far], np.zeros(len(far), np.int64), hi[far] - last[far] * size))
+            wide = np.flatnonzero(last > first + 1)
+            code, lo, hi = code[wide], first[wide] + 1, last[wide]
+        code, level, bucket, lo, hi = (np.concatenate(c) for c in zip(*pieces))
+        order = np.lexsort((bucket, level, code))
+        code, level, bucket, lo, hi = code[order], level[order], bucket[order], lo[order], hi[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (level[1:] != level[:-1]) | (bucket[1:] != bucket[:-1])
+        row, node = dyadic_blocks(lo, hi)
+        g, n = merge_blocks((np.cumsum(new) - 1)[row], node)
+        order = np.argsort(g, kind="stable")
+        at = np.flatnonzero(new)
+        offsets = np.searchsorted(g[order], np.arange(len(at) + 1)).astype(np.int32)
+        yield pa.record_batch(
+            [names.dictionary.take(pa.array(code[at])), pa.array(level[at].astype(np.int32)), pa.array(bucket[at]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(n[order]))],
+            names=["entity", "level", "bucket", "nodes"],
+        )
 
 
 def _coalesce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +150,10 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, unit_ms:
     cells = (
         df.select(F.col(entity).cast("string").alias("entity"), ms(start).alias("a"), ms(end).alias("b"))
         .where(f"entity is not null and a <= b and abs(a) < {float(1 << 61)} and abs(b) < {float(1 << 61)}")
-        .select("entity", (F.col("a").cast("long") * 2).alias("lo1"), (F.col("b").cast("long") * 2 + 1).alias("hi1"))
+        .select("entity", (F.col("a").cast("long") * 2).alias("lo"), (F.col("b").cast("long") * 2 + 1).alias("hi"))
     )
-    for level in range(1, LEVELS):
-        cells = cells.withColumn(f"lo{level + 1}", F.expr(f"shiftright(lo{level}, {BUCKET_BITS}) + 1L")).withColumn(f"hi{level + 1}", F.expr(f"if(lo{level} < hi{level}, shiftright(hi{level} - 1L, {BUCKET_BITS}), lo{level + 1})"))
-    pieces = cells.select("entity", F.explode(F.expr(_pieces_sql())).alias("p")).select("entity", "p.*")
-    blocks = pieces.select("entity", "level", "bucket", F.explode(F.expr(dyadic_blocks_sql("lo", "hi"))).alias("node"))
-    sets = blocks.groupBy("entity", "level", "bucket").agg(F.collect_set("node").alias("nodes"))
+    blocks = cells.mapInArrow(_block_batches, "entity string, level int, bucket long, nodes array<long>")
+    sets = blocks.groupBy("entity", "level", "bucket").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))
     local = sets.mapInArrow(_coalesce_batches, "entity string, level int, starts array<long>, ends array<long>")
     # Ranges of higher levels one by one; what lies below one of them is removed. A bucket lies below a range wholly or not at all.
     one = lambda x: F.struct(F.array(x["starts"]).alias("starts"), F.array(x["ends"]).alias("ends"))
