@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.vectors import pairs_within
-from framewright.session import cut
+from framewright.session import cut, discard
 
 #: Members of a component that one task merges by matrices of 128 MB each; larger components merge in rounds.
 DENSE_MEMBERS = 4000
@@ -34,13 +34,16 @@ def label_components(edges: DataFrame, nodes: DataFrame, a: str, b: str, key: st
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct())
     labels = cut(nodes.select(F.col(key).alias("u"), F.col(key).alias("c")).distinct())
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy("u").agg(F.min("d").alias("d"))
-        step = labels.join(near, "u", "left").select("u", F.col("c").alias("old"), F.least("c", F.coalesce("d", "c")).alias("c"))
+        before = labels
+        now = labels.select("u", "c")
+        near = both.join(now.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy("u").agg(F.min("d").alias("d"))
+        step = now.join(near, "u", "left").select("u", F.col("c").alias("old"), F.least("c", F.coalesce("d", "c")).alias("c"))
         jump = step.select(F.col("u").alias("c"), F.col("c").alias("e"))
         new = cut(step.join(jump, "c", "left").select("u", "old", F.least("c", F.coalesce("e", "c")).alias("c")))
+        discard(before)
         if new.where("c <> old").isEmpty():
             return new.select(F.col("u").alias(key), F.col("c").alias("component"))
-        labels = new.select("u", "c")
+        labels = new
 
 
 def merge_members(dist: np.ndarray, allowed: np.ndarray, limit: float) -> np.ndarray:
@@ -52,17 +55,24 @@ def merge_members(dist: np.ndarray, allowed: np.ndarray, limit: float) -> np.nda
     d = np.where(allowed, dist, np.inf).astype(np.float64)
     np.fill_diagonal(d, np.inf)
     cluster = np.arange(n)
-    while n > 1:
-        at = int(np.argmin(d))
-        i, j = divmod(at, n)
-        if not d[i, j] <= limit:
-            break
-        i, j = min(i, j), max(i, j)
+    if n < 2:
+        return cluster
+    near = d.argmin(axis=1)
+    least = d[cluster, near]
+    while True:
+        i = int(least.argmin())
+        if not least[i] <= limit:
+            return cluster
+        i, j = min(i, int(near[i])), max(i, int(near[i]))
         cluster[cluster == j] = i
         d[i] = d[:, i] = np.maximum(d[i], d[j])  # an inf of either keeps the two apart
         d[j] = d[:, j] = np.inf
         d[i, i] = np.inf
-    return cluster
+        # Distances only grow, so the nearest of a row changes only where it was one of the two.
+        again = np.flatnonzero((near == i) | (near == j))
+        again = np.union1d(again, [i, j])
+        near[again] = d[again].argmin(axis=1)
+        least[again] = d[again, near[again]]
 
 
 def merge_pairs(pairs: list[tuple]) -> list[tuple]:
@@ -121,7 +131,9 @@ def merge_rounds(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
         step = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("ca", F.coalesce("na", "a")).withColumn("cb", F.coalesce("nb", "b")).where("ca <> cb")
         parts = F.when(F.col("na").isNull(), 1).otherwise(2) * F.when(F.col("nb").isNull(), 1).otherwise(2)
         whole = step.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("distance").alias("distance"), F.count("*").alias("n"), F.max(parts).alias("parts"))
-        pairs = cut(whole.where("n = parts").select("a", "b", "distance"))
+        old, pairs = pairs, cut(whole.where("n = parts").select("a", "b", "distance"))
+        for table in (old, moved, joined):
+            discard(table)
     return renamed(pairs.coalesce(1).mapInPandas(rest, f"old {kind}, new {kind}"))
 
 

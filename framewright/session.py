@@ -64,10 +64,13 @@ def discard(df: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """A scanned table over at least as many partitions as there are cores, for work that is heavy per row.
 
-    Rows are moved only where the files give fewer partitions than that, so a large table is read as it lies.
+    Rows are moved only where the files give fewer partitions than that, so a large table is read as it lies. A plan with a shuffle, whose
+    partitions are decided as it runs, is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    cores, query = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if "Exchange" in query.executedPlan().toString():
+        return df
+    return df if query.toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
