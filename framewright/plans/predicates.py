@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright.functions import numeric as N
 from framewright.functions import text as X
 from framewright.plans.base import DETECTIONS, FRAMES, IDENTITIES, TRACKS, Registry, detections, frames, identities, tracks, with_sql
+from framewright.session import cut
 from framewright.sources.tables import table
 
 register = Registry()
@@ -73,9 +74,12 @@ def filter_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def lexicon_snap(spark: SparkSession, d: str) -> DataFrame:
-    """Noisy sign words rewritten to the most frequent sign words; each distinct word is compared once."""
+    """Noisy sign words rewritten to frequent sign words: those met more often than the mean word, from a hundred-thousandth of all words on,
+    which bounds their number; each distinct word is compared once."""
     words = _ocr_words(spark, d).where(r"w rlike '^[A-Za-z]{5,}$'").groupBy(F.lower("w").alias("lower")).agg(F.count("*").alias("n"), F.min("w").alias("w"))
-    lexicon = [r.lower for r in words.orderBy(F.desc("n"), "lower").limit(60).collect()]
+    words = cut(words)
+    least = words.agg(F.avg("n").alias("mean"), F.sum("n").alias("total")).first()
+    lexicon = sorted(r.lower for r in words.where(F.col("n") >= max(least.mean or 1.0, (least.total or 0) * 1e-5)).select("lower").collect())
     return words.select("w", X.snap_to_lexicon_python(lexicon)("w").alias("snapped")).where("w <> snapped")
 
 

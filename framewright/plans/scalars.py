@@ -81,11 +81,14 @@ def tidy_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.without_blank_lines("text").alias("text"), X.without_prefix("text", "Subject:", "Re:", "Review note,").alias("body"))
 
 
-@register()
+@register(r"""with r as (select request_id, min(response) r from llm_cache where contains(response, '[') and request_id is not null group by 1),
+j as (select request_id, case when json_valid(regexp_extract(r, '\[.*\]', 0, 's')) then from_json(regexp_extract(r, '\[.*\]', 0, 's'), '["json"]') end a from r)
+select request_id, len(a) as n_items, list_transform(a, lambda x: x ->> '$.description') as descriptions from j where a is not null""")
 def json_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """The first JSON array of each reply, fenced or within prose."""
-    r = table(spark, d, "llm_cache").where("contains(response, '[')").select("request_id", "response").dropDuplicates(["request_id"])
-    return r.select("request_id", X.json_array_python("response").alias("array")).where("array is not null")
+    """The first JSON array of each reply, fenced or within prose: its size and the descriptions of its items."""
+    r = table(spark, d, "llm_cache").where("contains(response, '[') and request_id is not null").groupBy("request_id").agg(F.min("response").alias("response"))
+    a = r.select("request_id", F.from_json(X.json_array_python("response"), "array<string>").alias("a")).where("a is not null")
+    return a.select("request_id", F.size("a").alias("n_items"), F.transform("a", lambda x: F.get_json_object(x, "$.description")).alias("descriptions"))
 
 
 @register("select 'x' || count(*) % 2 as k, printf('%.1f%%', 100.0 * count_if(value > 40) / count(*)) as share from events")

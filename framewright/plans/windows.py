@@ -119,10 +119,19 @@ def identity_ranking(spark: SparkSession, d: str) -> DataFrame:
     return numbered(c, [F.desc("n"), F.col("label")]).select("label", F.format_string("Face_%02d", "rank").alias("face_id"))
 
 
-@register()
+_WORDS = r"""r as (select request_id, min(response) x from llm_cache where request_id is not null and response is not null group by 1),
+d as (select request_id, case when request_id % 3 = 0 then x || ' so so So, so so. so' else x end x from r),
+w as (select request_id, x, list_filter(string_split_regex(x, '[\s\p{Z}]+'), lambda t: t <> '') w from d),
+p as (select *, list_transform(w, lambda t: trim(lower(t), '.,!?')) q from w),
+f as (select *, list_filter(range(5, len(w) + 1), lambda i: len(list_distinct(q[i - 4:i])) = 1)[1] i from p),
+h as (select *, array_to_string(w[1:i - 5], ' ') head from f)"""
+
+
+@register(with_sql(_WORDS) + r"select request_id, case when i is null then x when regexp_matches(head, '[.!?]') then regexp_extract(head, '^(.*[.!?])', 1, 's') else head end as response from h")
 def collapse_repetition(spark: SparkSession, d: str) -> DataFrame:
-    """Replies cut back where they fall into repeating one word."""
-    r = table(spark, d, "llm_cache").where("response is not null").select("request_id", "response").dropDuplicates(["request_id"])
+    """Replies cut back where they fall into repeating one word; every third is given such an end."""
+    r = table(spark, d, "llm_cache").where("request_id is not null and response is not null").groupBy("request_id").agg(F.min("response").alias("response"))
+    r = r.withColumn("response", F.when(F.col("request_id") % 3 == 0, F.concat("response", F.lit(" so so So, so so. so"))).otherwise(F.col("response")))
     return r.select("request_id", X.without_repetition_python("response").alias("response"))
 
 

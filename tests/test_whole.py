@@ -85,7 +85,7 @@ def test_texts_beyond_plain_ascii(spark, tmp_path):
 
 
 def test_lexicon_of_all_texts(spark, tmp_path):
-    words = [a + b for a in ("garden", "mirror", "bottle", "window", "dragon", "summit") for b in "abcdefghij"]  # the lexicon holds 60
+    words = [a + b for a in ("garden", "mirror", "bottle", "window", "dragon", "summit") for b in "abcdefghij"]  # more than sixty
     text = ["é " + " ".join(f"{w} {w}" for w in [*words[:59], "platform"]) + " platfrom"]
     d = write(tmp_path, documents=dict(doc_id=[1], source=["ocr"], text=text))
     assert [tuple(r) for r in predicates.lexicon_snap(spark, d).collect()] == [("platfrom", "platform")]
