@@ -1,8 +1,9 @@
 """Connected components by low-diameter decomposition.
 
 Each round, every vertex draws an exponential shift from a hash of its number; vertex v joins the centre u with the largest
-``shift(u) - distance(u, v)``, found by passing (shift, centre) along the edges for RADIUS steps. Shifts are drawn from the
-distribution truncated at RADIUS, so no centre reaches further and the clusters are final after these steps. Clusters become the vertices of the
+``shift(u) - distance(u, v)``, found by passing (shift, centre) along the edges for RADIUS steps; shifts are drawn from the
+distribution truncated at RADIUS, so hardly a centre would reach further. A vertex with one neighbour, of a larger number, starts no
+cluster: it can only join that neighbour's, so lone pairs, the ends of chains and half the leaves of a hub are contracted in any case. Clusters become the vertices of the
 next round, edges between clusters its edges, and the rounds end when none is left. Assignments are then composed from
 the last round back, each level being larger than the one above it, and every vertex gets the smallest id of its component.
 
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from framewright.session import cut, discard
 
-#: Steps that a cluster grows per round, and the cut-off of the shifts (7 at most, for the bits of a bid).
+#: Steps that a cluster grows per round, and the bound of the shifts (6 at most, for the bits of a bid).
 RADIUS = 6
-#: Rate of the exponential shifts: mean 1 / RATE.
-RATE = 0.4
+#: Rate of the exponential shifts before they are truncated.
+RATE = 0.3
 #: Links, or members of a group, beyond which a vertex is joined by a broadcast; n links have 2 n / HUB_LINKS such vertices at most.
 HUB_LINKS = 200_000
 #: Bound on rounds; expected are a few times the logarithm of the vertices, so reaching it is an error.
@@ -37,10 +38,10 @@ _ONE = 1 << (NUMBER_BITS + 16)
 
 
 def _start(vertex: str, seed: str) -> F.Column:
-    """The vertex's own bid: its exponential shift, truncated at RADIUS, above its number."""
+    """The vertex's own bid: 1 and its exponential shift, truncated at RADIUS, above its number; whoever hears of it can join it."""
     unit = F.shiftrightunsigned(F.xxhash64(seed, vertex), 11).cast("double") / float(1 << 53)
     shift = -F.log(1.0 - unit * (1.0 - math.exp(-RATE * RADIUS))) / RATE
-    return F.shiftleft((shift * 65536).cast("long"), NUMBER_BITS).bitwiseOR(F.col(vertex))
+    return F.shiftleft(((1.0 + shift) * 65536).cast("long"), NUMBER_BITS).bitwiseOR(F.col(vertex))
 
 
 class _Apart:
@@ -69,7 +70,8 @@ def decompose(edges: DataFrame, n: int, hub_links: int = HUB_LINKS) -> DataFrame
     The round's seed is data and no constant of the plan, so that the code compiled for one round serves the others.
     """
     apart = _Apart(edges, "src", n, hub_links)
-    bids = edges.where("src = dst").select("src", _start("src", "seed").alias("bid"))
+    ends = edges.groupBy("src").agg(F.max("seed").alias("seed"), F.count_if(F.col("src") != F.col("dst")).alias("n"), F.max("dst").alias("largest"))
+    bids = ends.where("n > 1 or largest = src").select("src", _start("src", "seed").alias("bid"))
     for _ in range(RADIUS):
         sent = apart.join(bids).select("dst", (F.col("bid") - F.col("cost")).alias("bid")).where("bid >= 0")
         bids = sent.groupBy(F.col("dst").alias("src")).agg(F.max("bid").alias("bid"))
