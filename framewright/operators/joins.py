@@ -9,19 +9,27 @@ from framewright.functions.numeric import iou
 from framewright.operators.tables import numbered
 
 
+#: Buckets that an interval of a range join is listed in at most.
+LONG = 4096
+
+
 def range_join(points: DataFrame, intervals: DataFrame, by: str, point: str, start: str, end: str, width: float, closed: bool = True) -> DataFrame:
     """All pairs of a point and an interval of the same ``by`` that holds it; columns of both.
 
     Intervals are listed once per bucket of ``width`` that they meet and joined on (by, bucket), so no side is compared as a
-    whole. Choose the width near the usual length of an interval. Closed intervals hold their end, others don't. Rows with a
+    whole. Choose the width near the usual length of an interval. One that meets more than LONG buckets, whatever its bounds, is compared with
+    the points of its ``by`` instead, most of which such an interval holds. Closed intervals hold their end, others don't. Rows with a
     null or NaN point or bound, or a start after the end, give no pairs. Columns other than ``by`` must differ in name.
     """
     b = "__bucket"
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     p = points.where(finite(point)).withColumn(b, F.floor(F.col(point) / width))
-    i = intervals.where(finite(start) & finite(end) & (F.col(start) <= F.col(end))).withColumn(b, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    i = intervals.where(finite(start) & finite(end) & (F.col(start) <= F.col(end)))
+    buckets = (F.col(end).cast("double") - F.col(start).cast("double")) / width
+    listed = i.where(buckets <= LONG).withColumn(b, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     inside = (F.col(point) >= F.col(start)) & ((F.col(point) <= F.col(end)) if closed else (F.col(point) < F.col(end)))
-    return p.join(i, [by, b]).where(inside).drop(b)
+    short = p.join(listed, [by, b]).where(inside).drop(b)
+    return short.unionByName(p.drop(b).join(i.where(buckets > LONG), by).where(inside))
 
 
 def within(a: DataFrame, b: DataFrame, by: str, left: str, right: str, distance: float) -> DataFrame:

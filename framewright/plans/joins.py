@@ -171,10 +171,12 @@ select face_a, face_b, app_dist, face_dist from p where not exists (select 1 fro
 def disjoint_identity_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Candidate pairs under both distances whose identities never share a second."""
     p = table(spark, d, "merge_candidates").where("face_a < face_b and app_dist <= 0.35 and face_dist <= 0.75").select("face_a", "face_b", "app_dist", "face_dist").distinct()
-    sec = table(spark, d, "identities").where("first_sec <= last_sec and face_id is not null").select("face_id", "video_id", F.explode(F.expr("sequence(cast(floor(first_sec) as bigint), cast(floor(last_sec) as bigint))")).alias("sec")).distinct()
-    wanted = p.select("face_a", "face_b")
-    a = wanted.join(sec.withColumnRenamed("face_id", "face_a"), "face_a")
-    both = a.join(sec.withColumnRenamed("face_id", "face_b"), ["face_b", "video_id", "sec"]).select("face_a", "face_b").distinct()
+    # Two spans of whole seconds meet if one of them begins within the other.
+    spans = table(spark, d, "identities").where("first_sec <= last_sec and face_id is not null and video_id is not null").select("face_id", "video_id", F.floor("first_sec").alias("s"), F.floor("last_sec").alias("e")).distinct()
+    of = lambda face: p.select("face_a", "face_b").join(spans.withColumnRenamed("face_id", face), face).select(F.struct("face_a", "face_b", "video_id").alias("both"), "s", "e")
+    a, b = of("face_a"), of("face_b")
+    met = [range_join(x.select("both", F.col("s").alias("at")), y, by="both", point="at", start="s", end="e", width=60) for x, y in ((a, b), (b, a))]
+    both = met[0].select("both.face_a", "both.face_b").unionByName(met[1].select("both.face_a", "both.face_b")).distinct()
     return p.join(both, ["face_a", "face_b"], "left_anti")
 
 

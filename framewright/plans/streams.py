@@ -34,9 +34,11 @@ def _finish(out: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
 
 @register("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly counts by type of the whole stream."""
-    g = _stream(spark, d).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    return _finish(g, spark, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    """Hourly counts by type: changed windows are merged into the result, and the watermark ends those that are past."""
+    path = local_path(spark, "windows")
+    g = E.windowed_counts(_stream(spark, d), "event_type", "ts", "value", "1 hour", "2 days")
+    E.upsert_into(g, f"{path}/t", ["start", "event_type"], "n", f"{path}/c", mode="update").awaitTermination()
+    return E.read_upserted(spark, f"{path}/t").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @register("select distinct event_id, user_id from events")

@@ -47,12 +47,12 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{found[-1]}")
 
 
-def upsert_into(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
+def upsert_into(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Keyed last-value merge of a stream into a table by batches; each batch merges into the newest complete version and writes the next.
 
     The versions in the folder say which is current, so a restarted stream goes on from the table it left. A batch that is repeated
     after a failure gives the same table, since the newest row of a key wins whatever the number of merges. The version before the
-    current one stays for its readers, older ones are deleted.
+    current one stays for its readers, older ones are deleted. With mode ``update`` the stream is an aggregation whose changed rows are merged.
     """
     spark = stream.sparkSession
 
@@ -66,4 +66,4 @@ def upsert_into(stream: DataFrame, path: str, key: list[str], order: str, checkp
             gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
             gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
