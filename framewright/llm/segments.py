@@ -120,15 +120,18 @@ def segment(cost: np.ndarray, forced: np.ndarray, penalty: float = PENALTY, fits
     return may[np.array(starts[::-1])]
 
 
-def _neighbour_costs(texts: list[tuple], gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(texts)
-    cost, forced = np.zeros(n), np.zeros(n, bool)
-    for i in range(1, n):
+def _neighbour_costs(texts: list[tuple], gap: np.ndarray, same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Costs and forced boundaries between neighbours; same: which events are known to have the texts of the one before."""
+    blank = np.array([not any(x) for x in texts], bool)
+    forced = (gap > MAX_GAP_SEC) | blank
+    forced[1:] |= blank[:-1]
+    forced[:1] = False
+    cost = np.zeros(len(texts))
+    compare = ~forced if same is None else ~forced & ~same
+    compare[:1] = False
+    for i in np.flatnonzero(compare):
         p, q = texts[i - 1], texts[i]
-        if gap[i] > MAX_GAP_SEC or not (p[0] or p[2] or p[1] or p[3]) or not (q[0] or q[2] or q[1] or q[3]):
-            forced[i] = True
-        else:
-            cost[i] = max(text_dissimilarity(p[0], p[1], q[0], q[1]), text_dissimilarity(p[2], p[3], q[2], q[3]))
+        cost[i] = max(text_dissimilarity(p[0], p[1], q[0], q[1]), text_dissimilarity(p[2], p[3], q[2], q[3]))
     return cost, forced
 
 
@@ -172,9 +175,12 @@ def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str,
         if rows.num_rows > 1:
             new = pc.or_(pc.not_equal(rows["k"][1:], rows["k"][:-1]), pc.not_equal(rows["t"][1:], rows["t"][:-1]))
             rows = rows.filter(pa.chunked_array([pa.array([True]), *new.chunks]).combine_chunks())
+        rows = rows.combine_chunks()
         texts = list(zip(*(rows[c].to_pylist() for c in ("a", "na", "b", "nb"))))
         t = rows["t"].to_numpy()
-        start = segment(*_neighbour_costs(texts, np.diff(t, prepend=t[:1])), fits=_fits(texts))
+        same_texts = np.zeros(len(t), bool)
+        same_texts[1:] = np.logical_and.reduce([pc.equal(rows[c][1:], rows[c][:-1]).to_numpy() for c in ("a", "na", "b", "nb")])
+        start = segment(*_neighbour_costs(texts, np.diff(t, prepend=t[:1]), same_texts), fits=_fits(texts))
         end = np.append(start[1:], len(t)) - 1
         n = len(start)
         same = lambda c: rows[c].take([0] * n)
