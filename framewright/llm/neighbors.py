@@ -3,7 +3,7 @@
 1. Usable vectors are scaled to length one; exact copies are folded by a 64-bit hash before the search and unfolded after it,
    k + 1 members of a group at most being needed by anyone.
 2. A bounded sample (SAMPLE vectors at most) fits the centres of up to MAX_LISTS lists; every row is compared with all of them and goes
-   to the list of its nearest centre and, as a query, to its PROBES nearest lists. Lists are grouped into cells of about CELL_ROWS
+   to the list of its nearest centre and, as a query, to its PROBES nearest lists (FAR_PROBES without a least similarity). Lists are grouped into cells of about CELL_ROWS
    rows, so that a query that probes several lists mostly meets them in one cell and is sent there once; the longer the
    lists, the fewer are in a cell.
 3. A task holds one block of a cell's rows and one part of its queries. Cells for which the sample foretells more than CELL_ROWS rows or
@@ -39,8 +39,10 @@ MAX_LISTS = 32768
 CELL_LISTS = 64
 CELL_ROWS = 32768
 CELL_QUERIES = 65536
-#: Lists that a query scans, and lists within each divided one.
-PROBES, SUB_PROBES = 8, 6
+#: Lists that a query scans: neighbours of at least NEAR_COSINE lie in few lists, those of vectors without near ones anywhere.
+PROBES, FAR_PROBES, NEAR_COSINE = 8, 160, 0.8
+#: Lists that a query scans within each divided one.
+SUB_PROBES = 6
 #: From this many members a group of copies is joined apart from the others, by a broadcast of one row per such group.
 HOT_COPIES = 100_000
 #: Vectors are shipped in fixed point of 16 bits, which moves a cosine by about 0.00001.
@@ -225,16 +227,18 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 def nearest_neighbors(
-    df: DataFrame, key: str, vector: str, dim: int, k: int = 10, min_cosine: float = -1.0, probes: int = PROBES, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES, hot_copies: int = HOT_COPIES
+    df: DataFrame, key: str, vector: str, dim: int, k: int = 10, min_cosine: float = -1.0, probes: int | None = None, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES, hot_copies: int = HOT_COPIES
 ) -> DataFrame:
     """(id, neighbor, cosine DOUBLE, rank INT): the k most similar other ids of each usable id, best first.
 
     Equally similar neighbours rank by smaller id; with more than k exact copies any id names the smallest k others. With
     ``min_cosine`` only neighbours at least that similar come out. Repeated rows count once; of different vectors
     under one id one is taken, the same whatever the order of rows. Fewer than k usable others give fewer rows, no usable
-    vector gives none. See ``usable_vectors`` for the rows that count; other columns are not read.
+    vector gives none. See ``usable_vectors`` for the rows that count; other columns are not read. Without ``probes`` a query scans PROBES
+    lists if min_cosine is NEAR_COSINE or more, else FAR_PROBES.
     """
     spark = df.sparkSession
+    probes = probes or (PROBES if min_cosine >= NEAR_COSINE else FAR_PROBES)
     rows = usable_vectors(df, key, vector, dim)
     members = rows.groupBy("id").agg(F.max("h").alias("h"))
     w = Window.partitionBy("h").orderBy("id")

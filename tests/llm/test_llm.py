@@ -39,7 +39,7 @@ def _clustered(rng, n=900, dim=16):
 def test_neighbors_recall(spark):
     x = _clustered(np.random.default_rng(1))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "f long, e array<float>").repartition(5)
-    got = neighbors.nearest_neighbors(df, "f", "e", 16, k=10).toPandas()
+    got = neighbors.nearest_neighbors(df, "f", "e", 16, k=10, probes=8).toPandas()
     s = x @ x.T
     np.fill_diagonal(s, -2)
     top = np.argsort(-s, axis=1)[:, :10]
@@ -53,7 +53,7 @@ def test_recall_with_divided_lists_blocks_and_many_cells(spark, how):
     # As a large input meets them: lists far longer than planned, cells cut into blocks and parts, over a hundred cells.
     x = _clustered(np.random.default_rng(3), 2400)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "f long, e array<float>").repartition(5)
-    got = neighbors.nearest_neighbors(df, "f", "e", 16, k=10, **({"list_rows": 40} | how)).toPandas()
+    got = neighbors.nearest_neighbors(df, "f", "e", 16, k=10, **({"list_rows": 40, "probes": 8} | how)).toPandas()
     s = x @ x.T
     np.fill_diagonal(s, -2)
     top = np.argsort(-s, axis=1)[:, :10]
