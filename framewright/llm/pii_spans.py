@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 TYPES = ("name", "email", "phone", "id_number", "address")
@@ -65,7 +65,25 @@ EMAIL = re.compile(
     rf"(?<![\w.+-])([A-Za-z0-9][\w+.'%-]*(?:{_SP}(?:dot|DOT){_SP}[\w+-]+)*)(?:{_AT}([A-Za-z0-9][\w-]*{_TLD})"
     rf"|{_W}(?:at|AT){_W}([A-Za-z0-9][\w-]*(?:{_BARE_DOT}[\w-]+)*{_BARE_DOT}[A-Za-z]{{2,12}})(?![\w-]))"
 )
-_AT_MARK = re.compile(rf"[@＠]|[aA](?:[tT](?:(?<=\s..)(?={_W}[A-Za-z0-9][\w-]*(?:\.[\w-]|{_SP}?[\(\[\{{]|{_SP}(?:dot|DOT)\s))|(?<=[\(\[\{{<\s]..)(?={_SP}?[\)\]\}}>]))|robase|rroba)|chiocciola")
+_AT_BRACKET = re.compile(rf"[\(\[\{{<]{_SP}?(?:at|AT|At|arobase|arroba|chiocciola){_SP}?[\)\]\}}>]")
+_AFTER_AT = re.compile(rf"{_W}[A-Za-z0-9][\w-]*(?:\.[\w-]|{_SP}?[\(\[\{{]|{_SP}(?:dot|DOT)\s)")
+
+
+def _at_marks(text: str) -> list[tuple[int, int]]:
+    """Places of the signs and words that stand between the two parts of an address, in order."""
+    out = [(i, i + 1) for sign in "@＠" if sign in text for i, ch in enumerate(text) if ch == sign]
+    if any(b in text for b in "([{<"):
+        out += [m.span() for m in _AT_BRACKET.finditer(text)]
+    plain = text.replace("\n", " ").replace("\t", " ").replace("\u00a0", " ")
+    for word in (" at ", " AT "):
+        i = plain.find(word)
+        while i >= 0:
+            if _AFTER_AT.match(text, i + 3):
+                out.append((i, i + 3))
+            i = plain.find(word, i + 3)
+    return sorted(out)
+
+
 #: Endings of pictures and films, which are no domains.
 _FILE_ENDINGS = frozenset("png jpg jpeg gif svg webp mp mov avi tif".split())
 
@@ -391,6 +409,8 @@ def _name(text: str, start: int, end: int, given: str, family: str, middle: bool
 
 _TITLE_WORD = re.compile(_TITLE, re.I)
 _TITLE_SET = frozenset(re.findall(r"\w+", _TITLE.lower()[3:]))
+#: Last words of a title or of a cue that a name is signed.
+_LEADS = _TITLE_SET | frozenset("by von por par da unterschrieb firmó name speaker sprecher with mit avec".split())
 _TITLED = re.compile(rf"(?:^|\W){_TITLE}\W?$")
 
 
@@ -451,8 +471,10 @@ def _names(text: str, words: set, given_names: frozenset, common: frozenset) ->
             if parts[-1] in PLACE_WORDS:
                 continue
             if m[0].isupper() or not COMMON.isdisjoint(parts):
-                left = _left(text, m.start())
-                if not (_TITLED.search(left) or _SIGN_CUE.search(left)) and (m[0].isupper() or len(COMMON.union(parts)) - len(COMMON) < 2):
+                before = text[max(0, m.start() - 24) : m.start()].split()
+                led = before and before[-1].lower().strip(".,:;()-–") in _LEADS
+                left = _left(text, m.start()) if led else ""
+                if not (led and (_TITLED.search(left) or _SIGN_CUE.search(left))) and (m[0].isupper() or len(COMMON.union(parts)) - len(COMMON) < 2):
                     continue
         pieces = [(m.start() + p.start(), m.start() + p.end(), p[0]) for p in _PIECE.finditer(m[0])]
         if pieces[0][2] == "M." and len(pieces) > 2 and in_list(pieces[1][2].lower()):
@@ -487,13 +509,11 @@ def _names(text: str, words: set, given_names: frozenset, common: frozenset) ->
     return out
 
 
-def _windows(text: str, mark: re.Pattern, before: int, after: int, test: Callable[[re.Match], bool] | None = None) -> list[tuple[int, int]]:
+def _windows(text: str, marks: Iterable[tuple[int, int]], before: int, after: int) -> list[tuple[int, int]]:
     """Joined stretches of the text around the marks, cut at blanks so that no word is halved."""
     out: list[tuple[int, int]] = []
-    for m in mark.finditer(text):
-        if test is not None and not test(m):
-            continue
-        a, b = max(0, m.start() - before), min(len(text), m.end() + after)
+    for start, end in marks:
+        a, b = max(0, start - before), min(len(text), end + after)
         while a > 0 and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
@@ -505,17 +525,29 @@ def _windows(text: str, mark: re.Pattern, before: int, after: int, test: Callabl
     return out
 
 
+_BREAKS = str.maketrans(dict.fromkeys(",.:;!?()[]\"'’“”-–—/«»<>*_#", " "))
+
+
+def _word_list(text: str) -> list[str]:
+    """Words in small letters, without the marks that stand at them."""
+    low = text.lower()
+    if low.isascii():
+        return low.translate(_BREAKS).split()
+    return _PLAIN_WORDS.findall(low)
+
+
 def spots_of(text: str, common: frozenset = frozenset(), given_names: frozenset = GIVEN) -> list[Spot]:
     """All candidates of a text, of every family; they may overlap. common: words that the corpus writes in small letters often."""
     out: list[Spot] = []
-    for a, b in _windows(text, _AT_MARK, 90, 130):
+    for a, b in _windows(text, _at_marks(text), 90, 130):
         out += [_email(text, m, common) for m in EMAIL.finditer(text, a, b)]
-    for a, b in _windows(text, _DIGITS, 16, 24):
+    for a, b in _windows(text, (m.span() for m in _DIGITS.finditer(text)), 16, 24):
         out += [_phone(text, m) for m in PHONE.finditer(text, a, b)]
         out += [_ident(text, m) for m in IDENT.finditer(text, a, b)]
-    words = _PLAIN_WORDS.findall(text.lower())
+    words = _word_list(text)
     distinct = set(words)
-    if not _DIGIT_SET.isdisjoint(distinct) and sum(w in _DIGIT_SET for w in words) >= 7:
+    # Seven words in a row, with whatever stands between them.
+    if not _DIGIT_SET.isdisjoint(distinct) and b"\1\1\1\1\1\1\1" in bytes(map(_DIGIT_SET.__contains__, words)):
         out += [_spelt(text, m) for m in SPELT.finditer(text)]
 
     def street(m: re.Match) -> bool:
@@ -525,7 +557,7 @@ def spots_of(text: str, common: frozenset = frozenset(), given_names: frozenset
         left = _PLAIN_WORDS.findall(text[max(0, m.start() - 60) : m.start()].lower())[-6:]
         return not _LEFT_TYPES.isdisjoint(left) or any(w.endswith(_LEFT_ENDINGS) for w in left[-3:])
 
-    for a, b in _windows(text, _HOUSE, 80, 80, street):
+    for a, b in _windows(text, (m.span() for m in _HOUSE.finditer(text) if street(m)), 80, 80):
         out += [_address(text, m) for m in ADDRESS.finditer(text, a, b)]
     out += _names(text, distinct, given_names, common)
     for s in out:
