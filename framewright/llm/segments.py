@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from framewright.session import cut
 
 #: Seconds per chunk of an entity.
-CHUNK_SEC = 600.0
+CHUNK_SEC = 3600.0
 #: Cost of a boundary; a neighbour's dissimilarity is 1 where a quarter of the characters is misread.
 PENALTY = 1.0
 #: Share of characters that may be misread, and seconds between neighbours of a run.
@@ -153,7 +153,7 @@ def _numbers(column: str) -> F.Column:
     return F.concat_ws(" ", F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(r"(\p{Nd}+)"), 1))
 
 
-def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str, text_b: str) -> DataFrame:
+def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str, text_b: str, chunk_sec: float = CHUNK_SEC) -> DataFrame:
     """One row per run: (entity, first_key, last_key, n_events BIGINT, from_sec, to_sec, duration_sec DOUBLE).
 
     Order within an entity is by time, then key. Repeats of a key at one time count once, with the least of their texts; a key at two
@@ -166,7 +166,7 @@ def collapse_runs(df: DataFrame, entity: str, key: str, time: str, text_a: str,
     rows = (
         df.select(F.col(entity).alias("e"), F.col(key).alias("k"), F.col(time).cast("double").alias("t"), _plain(text_a).alias("a"), _numbers(text_a).alias("na"), _plain(text_b).alias("b"), _numbers(text_b).alias("nb"))
         .where("e is not null and k is not null and t is not null and not isnan(t)")
-        .withColumn("chunk", F.floor(F.col("t") / CHUNK_SEC))
+        .withColumn("chunk", F.floor(F.col("t") / chunk_sec))
     )
     out = f"e {kind}, chunk long, run int, runs int, first_key {key_kind}, last_key {key_kind}, n long, from_sec double, to_sec double, blank boolean, head array<string>, tail array<string>"
 

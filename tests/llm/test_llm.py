@@ -210,7 +210,8 @@ def test_runs_across_chunks_and_edge_cases(spark):
     rows = [("v", i, float(i) * 9, "SAME SIGN", None) for i in range(200)]  # crosses three chunks
     rows += [("v", 300, 1795.0, "same sjgn!", ""), ("v", 301, 1796.0, None, " "), ("v", 302, 1797.0, "SAME SIGN", ""), ("w", 1, 1.0, "7 MIN", "x"), ("w", 2, 2.0, "8 MIN", "x"), ("w", 2, 2.0, "8 MIN", "x"), (None, 5, 1.0, "a", "b"), ("w", 9, None, "a", "b"), ("w", 10, float("nan"), "a", "b")]
     df = spark.createDataFrame(rows, "video string, frame long, t double, o string, c string").withColumn("run", F.lit(0))
-    got = {(r.entity, r.first_key, r.last_key, r.n_events) for r in segments.collapse_runs(df, "video", "frame", "t", "o", "c").collect()}
+    got = {(r.entity, r.first_key, r.last_key, r.n_events) for r in segments.collapse_runs(df, "video", "frame", "t", "o", "c", chunk_sec=600.0).collect()}
+    assert got == {(r.entity, r.first_key, r.last_key, r.n_events) for r in segments.collapse_runs(df, "video", "frame", "t", "o", "c").collect()}
     assert got == {("v", 0, 300, 201), ("v", 302, 302, 1), ("w", 1, 1, 1), ("w", 2, 2, 1)}
     assert segments.collapse_runs(df.where("1 = 0"), "video", "frame", "t", "o", "c").count() == 0
 
