@@ -65,17 +65,20 @@ def timeline_checked(df: DataFrame, key: str, reply: str, max_sec) -> DataFrame:
     return g.select(key, events.alias("events"), F.concat(F.transform("__bad", lambda x: x["__problem"]), late).alias("problems"))
 
 
-def batch_items(df: DataFrame, key: str, reply: str, expected: DataFrame, index: str = "scene_index", text: str = "description") -> DataFrame:
+def batch_items(df: DataFrame, key: str, reply: str, expected: DataFrame | Column, index: str = "scene_index", text: str = "description") -> DataFrame:
     """(key, index INT, description): the items of a batch reply, bare, fenced or within prose, whose index was asked for.
 
-    expected: (key, index), each once. Items that are no objects, whose index is missing or no whole number, or whose text is blank count
-    for nothing; of several with one index the last counts.
+    expected: (key, index), each once, or a condition on the two where a rule says what was asked for. Items that are no objects, whose
+    index is missing or no whole number (of 32 bits), or whose text is blank count for nothing; of several with one index the last counts.
     """
     e = _items(df, key, reply).where(F.col("item").startswith("{")).select(key, "pos", F.get_json_object("item", f"$.{index}").alias("__i"), _field("item", text).alias("__text"))
     # A number with a fraction is cut to a whole one, as text it must be a whole number.
-    e = e.withColumn("__index", F.when(F.trim("__i").rlike(r"^[+-]?\d{1,9}$"), F.trim("__i").cast("int")).when(F.col("__i").rlike(r"^-?\d+\.\d+$"), F.col("__i").cast("double").cast("int"))).where("__index is not null and __text <> ''")
+    e = e.withColumn("__index", F.when(F.trim("__i").rlike(r"^[+-]?\d+$"), F.trim("__i").try_cast("int")).when(F.col("__i").rlike(r"^-?\d+\.\d+$"), F.col("__i").cast("double").try_cast("int"))).where("__index is not null and __text <> ''")
     last = e.groupBy(key, F.col("__index").alias(index)).agg(F.max_by("__text", "pos").alias("description"))
-    return last.join(expected.select(key, index), [key, index], "left_semi")
+    if isinstance(expected, Column):
+        return last.where(expected)
+    # Spark does not foresee how many rows lists of indices give, and would broadcast any number.
+    return last.join(expected.select(key, index).hint("merge"), [key, index], "left_semi")
 
 
 def timeline_events(df: DataFrame, key: str, reply: str, max_sec: float) -> DataFrame:
